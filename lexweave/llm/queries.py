@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, sentencepiece_codec, simhash
+from . import bradley_terry, decontaminate, html_extract, license_scan, pii, sentencepiece_codec, simhash, suffix_dedup
 from . import quality_rules as quality
 from .common import table
 
@@ -55,6 +55,20 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND {verdict} AS kept FROM ratio"""
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return bradley_terry.score(docs, bradley_terry.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.concat_ws(",", F.array_sort("items")), 256)
@@ -80,16 +94,32 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(table(spark, sf_dir, "documents"), model_path())
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op1_quality_rules": op1_quality_rules,
-        "op6_decontamination": op6_decontamination,
-        "op7_sentencepiece": op7_sentencepiece,
-        "op10_simhash": op10_simhash,
+        f.__name__: f
+        for f in (
+            op1_quality_rules,
+            op2_suffix_dedup,
+            op4_pii,
+            op5_bradley_terry,
+            op6_decontamination,
+            op7_sentencepiece,
+            op8_license_scan,
+            op9_html_extraction,
+            op10_simhash,
+        )
     }
 
 

@@ -59,16 +59,16 @@ def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def add_fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
-    """(id, fp): the fingerprint as a signed long."""
+def add_fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, *keep, fp): the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.fromiter((fingerprint(t, shingle, seed) for t in as_bytes(batch.column(1))), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["id", "fp"])
+            prints = np.fromiter((fingerprint(t, shingle, seed) for t in as_bytes(batch.column(batch.num_columns - 1))), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prints.view(np.int64))], ["id", *keep, "fp"])
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"id {kind}, fp long")
+    kinds = "".join(f"`{name}` {df.schema[c].dataType.simpleString()}, " for name, c in (("id", id_col), *((k, k) for k in keep)))
+    return df.select(F.col(id_col).alias("id"), *keep, F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"{kinds}fp long")
 
 
 def _masks(max_distance: int, blocks_kept: int) -> list[int]:
@@ -255,16 +255,30 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame | None:
     return found.groupBy("node").agg(F.min("root").alias("root")) if len(rounds) > 1 else found
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = 4, shingle: int = 4) -> DataFrame:
-    """(id, fingerprint, component_id) for every row of ``df``."""
-    prints = materialise(add_fingerprint(df, id_col, text_col, shingle), "simhash-prints")
+def grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = 4, shingle: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, *keep, fp, root, component_id) for every row: ``root`` is a fingerprint that names the component."""
+    prints = materialise(add_fingerprint(df, id_col, text_col, shingle, keep=keep), "simhash-prints")
     nodes = materialise(prints.groupBy("fp").agg(F.min("id").alias("least")), "simhash-nodes")
     root_of = components(links(nodes.select("fp"), max_distance), "simhash")
     if root_of is not None:
         rooted = nodes.join(root_of.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
         best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-        nodes = materialise(rooted.join(best, "root").select("fp", "component_id"), "simhash-component")
+        nodes = materialise(rooted.join(best, "root").select("fp", "root", "component_id"), "simhash-component")
     else:
-        nodes = nodes.select("fp", F.col("least").alias("component_id"))
-    out = prints.join(nodes, "fp")
+        nodes = nodes.select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
+    return prints.join(nodes, "fp")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = 4, shingle: int = 4) -> DataFrame:
+    """(id, fingerprint, component_id) for every row of ``df``."""
+    out = grouped(df, id_col, text_col, max_distance, shingle)
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_per_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = 4, shingle: int = 4) -> DataFrame:
+    """One row of ``df`` for each component: that of the smallest id (null comes last), then of the smallest row hash."""
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
+    at = df.withColumn("__row", F.xxhash64(*df.columns)).withColumn("__key", key)
+    found = grouped(at, id_col, text_col, max_distance, shingle, keep=("__key", "__row"))
+    best = found.groupBy("root").agg(F.min(F.struct("__key", "__row")).alias("best")).select("best.*")
+    return at.join(best, ["__key", "__row"], "left_semi").dropDuplicates(["__key", "__row"]).select(*df.columns)
