@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bradley_terry, decontaminate, html_extract, license_scan, pii, sentencepiece_codec, simhash, suffix_dedup
+from . import bradley_terry, chat, decontaminate, html_extract, license_scan, pii, sentencepiece_codec, simhash, suffix_dedup
 from . import quality_rules as quality
 from .common import table
 
@@ -60,6 +60,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.linked(table(spark, sf_dir, "conversations"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -112,6 +116,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         for f in (
             op1_quality_rules,
             op2_suffix_dedup,
+            op3_chat_formatting,
             op4_pii,
             op5_bradley_terry,
             op6_decontamination,
