@@ -105,7 +105,7 @@ def score_records(lexicon: DataFrame, tokens: list[str], concepts: list[Concept]
     terms = sorted({c.term for c in concepts})
     n = max(1, lexicon.count())
     exploded = lexicon.select("id", F.posexplode(gloss_tokens(F.col("tags"))).alias("pos", "token"))
-    vocabulary = document_frequency(lexicon).where(_any([terms_match(F.col("token"), F.lit(t)) for t in terms]))
+    vocabulary = document_frequency(lexicon).where(F.exists(F.array(*map(F.lit, terms)).cast("array<string>"), lambda t: terms_match(F.col("token"), t)))
     weighed = vocabulary.select("token", idf(F.lit(float(n)), F.col("df")).alias("idf"))
     hits = exploded.join(weighed, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "token", "idf"))).alias("__glosses"))
 

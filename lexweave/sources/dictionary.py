@@ -81,39 +81,51 @@ def romanization(entry: Column) -> Column:
     return _trim(_text(F.try_element_at(marked, F.lit(1)), "$.form"))
 
 
-def parse_lines(lines: DataFrame, spec: SourceSpec, value: str = "value", ordinal: str = "ordinal") -> DataFrame:
-    """(ordinal, valid, accepted, lexicon columns, edges) for every line that isn't blank."""
-    at = lines.where(F.trim(F.regexp_replace(value, r"(?U)\s+", " ")) != "").withColumn("__v", F.try_parse_json(value))
-    v = F.col("__v")
-    pos, known = _text(v, "$.pos"), F.lit(None).cast("string")
-    for name, kind in CLASSES.items():
-        known = F.when(pos == name, F.lit(kind)).otherwise(known)
-    at = at.withColumns({"word": _text(v, "$.word"), "word_class": known, "__pos": pos})
+def _entry(v: Column, spec: SourceSpec) -> Column:
+    """All that is read from one entry, given its variant bound once."""
+    word, pos, language = _text(v, "$.word"), _text(v, "$.pos"), F.lit(spec.language)
+    kind = F.lit(None).cast("string")
+    for name, to in CLASSES.items():
+        kind = F.when(pos == name, F.lit(to)).otherwise(kind)
     usable = F.filter(
         F.transform(_items(v, "$.senses"), lambda s: F.struct(F.when(~sense_is_junk(s), clean_gloss(_text(s, "$.glosses[0]"))).alias("gloss"), sense_registers(s).alias("registers"))),
         lambda s: s["gloss"].isNotNull(),
     )
-    at = at.withColumn("__kept", F.slice(usable, 1, GLOSSES))
-    skipped = F.coalesce(F.col("word_class").isin(list(spec.skip_classes)), F.lit(False)) if spec.skip_classes else F.lit(False)
-    accepted = valid_word(F.col("word")) & (F.col("__pos").isNull() | F.col("word_class").isNotNull()) & ~skipped & (F.size("__kept") > 0)
-    language = F.lit(spec.language)
-    made = {
-        "valid": v.isNotNull(),
-        "accepted": F.coalesce(accepted, F.lit(False)),
-        "id": F.concat(language, F.lit("_"), F.col("word")),
-        "language": language,
-        "system": F.lit(spec.system),
-        "tags": F.array_join(F.transform("__kept", lambda s: s["gloss"]), ","),
-        "seed_weight": F.lit(1.0),
-        "source": F.lit(spec.id),
-        "etymology": clean_etymology(_text(v, "$.etymology_text")),
-        "origin_lang": F.lit(None).cast("string"),
-        "translit": F.coalesce(romanization(v), to_latin(F.col("word"), language)),
-        "registers": F.nullif(F.array_join(F.array_distinct(F.flatten(F.transform("__kept", lambda s: s["registers"]))), ","), F.lit("")),
-        "edges": edges_of(v, F.col("word")),
-    }
-    at = at.withColumns(made)
-    return at.select(ordinal, "valid", "accepted", *LEXICON.fieldNames(), "edges")
+    head = F.struct(word.alias("word"), kind.alias("kind"), (pos.isNull() | kind.isNotNull()).alias("known"), F.slice(usable, 1, GLOSSES).alias("kept"))
+
+    def rest(x: Column) -> Column:
+        skipped = F.coalesce(x["kind"].isin(list(spec.skip_classes)), F.lit(False)) if spec.skip_classes else F.lit(False)
+        accepted = v.isNotNull() & valid_word(x["word"]) & x["known"] & ~skipped & (F.size(x["kept"]) > 0)
+        registers = F.array_distinct(F.flatten(F.transform(x["kept"], lambda s: s["registers"])))
+        made = {
+            "id": F.concat(language, F.lit("_"), x["word"]),
+            "word": x["word"],
+            "word_class": x["kind"],
+            "language": language,
+            "system": F.lit(spec.system),
+            "tags": F.array_join(F.transform(x["kept"], lambda s: s["gloss"]), ","),
+            "seed_weight": F.lit(1.0),
+            "source": F.lit(spec.id),
+            "etymology": clean_etymology(_text(v, "$.etymology_text")),
+            "origin_lang": F.lit(None).cast("string"),
+            "translit": F.coalesce(romanization(v), to_latin(x["word"], language)),
+            "registers": F.nullif(F.array_join(registers, ","), F.lit("")),
+        }
+        edges = F.when(accepted, edges_of(v, x["word"])).otherwise(F.array().cast(_EDGE))
+        return F.struct(v.isNotNull().alias("valid"), F.coalesce(accepted, F.lit(False)).alias("accepted"), *[made[c].alias(c) for c in LEXICON.fieldNames()], edges.alias("edges"))
+
+    return F.transform(F.array(head), rest)[0]
+
+
+def parse_lines(lines: DataFrame, spec: SourceSpec, value: str = "value", ordinal: str = "ordinal") -> DataFrame:
+    """(ordinal, valid, accepted, lexicon columns, edges) for every line that isn't blank.
+
+    A line is parsed once: its variant is a lambda's variable, and the row comes out of a generator, which later filters
+    cannot move into.
+    """
+    at = lines.where(F.col(value).rlike(r"(?U)\S"))
+    made = F.transform(F.array(F.try_parse_json(value)), lambda v: _entry(v, spec))
+    return at.select(ordinal, F.explode(made).alias("p")).select(ordinal, "p.*")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
