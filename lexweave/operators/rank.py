@@ -126,7 +126,8 @@ def score_records(lexicon: DataFrame, tokens: list[str], concepts: list[Concept]
         F.array().cast("array<int>").alias("used"),
     ).cast(_STATE)
     none = F.array().cast("array<struct<pos:int,token:string,idf:double>>")
-    at = at.withColumn("__state", _fold(array, F.coalesce("__glosses", none), F.col("__word"), F.col("__latin"), start))
+    state = _fold(array, F.coalesce("__glosses", none), F.col("__word"), F.col("__latin"), start)
+    at = at.select("*", F.explode(F.array(state)).alias("__state"))  # a generator: the filter on the score cannot fold twice
     score, matched = F.col("__state.score"), F.col("__state.matched")
     if allow_echo:
         matched = F.when(echo, F.concat(matched, F.array(F.concat("__word", F.lit(" (wort)"))))).otherwise(matched)
