@@ -43,7 +43,7 @@ def test_edges_registers_and_romanization(spark):
         entry(
             word="Spur",
             synonyms=[{"word": "Fährte"}, {"word": "zwei Worte"}, {"word": "spur"}, {"word": 3}],
-            forms=[{"form": " ", "tags": ["romanization"]}, {"form": "spoor", "tags": ["x", "romanization"]}],
+            forms=[{"form": " ", "tags": ["romanization"]}, {"form": "spuur", "tags": ["x", "romanization"]}],
             senses=[
                 {"form_of": [], "glosses": ["skip"], "related": [{"word": "Weg"}], "tags": ["archaic"]},
                 {"glosses": ["one"], "tags": ["figuratively", "poetic"], "synonyms": [{"word": "Zeichen"}, {"word": "Fährte"}]},
@@ -51,7 +51,7 @@ def test_edges_registers_and_romanization(spark):
         ),
     )
     assert [(e["rel"], e["dst"], e["weight"]) for e in r["edges"]] == [("synonym", "fährte", 0.8), ("synonym", "zeichen", 0.8), ("verwandt", "weg", 0.6)]
-    assert r["registers"] == "figurative,poetic" and r["translit"] == "spoor"
+    assert r["registers"] == "figurative,poetic" and r["translit"] == "spuur"
     [many] = parsed(spark, entry(derived=[{"word": f"w{i}"} for i in range(20)]))
     assert len(many["edges"]) == 12
 
