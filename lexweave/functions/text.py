@@ -77,7 +77,11 @@ def _prefixes(a: Column, b: Column) -> Column:
 
 def terms_match(a: Column, b: Column) -> Column:
     """Equal without a plural ending, or one begins the other and both have five bytes."""
-    x, y = singularish(a), singularish(b)
+    return stems_match(singularish(a), singularish(b))
+
+
+def stems_match(x: Column, y: Column) -> Column:
+    """``terms_match`` of terms that have lost their plural ending; matching stems share their first two characters."""
     return (x == y) | ((F.octet_length(x) >= 5) & (F.octet_length(y) >= 5) & _prefixes(x, y))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.render import explain
-from ..functions.text import gloss_tokens, idf, origin_factor, register_factor, score_text, terms_match
+from ..functions.text import gloss_tokens, idf, origin_factor, register_factor, score_text, singularish, stems_match
 from ..functions.translit import fold_diacritics
 from .concepts import COMPOUND_BYTES, Concept, build_concepts, concept_array, query_tokens
 
@@ -64,7 +64,7 @@ def _fold(concepts: Column, glosses: Column, word: Column, latin: Column, start:
     """Evidence of the concepts in order: each counts its better hit, and a gloss token counts once."""
 
     def step(state: Column, c: Column) -> Column:
-        free = F.filter(glosses, lambda g: ~F.array_contains(state["used"], g["pos"]) & terms_match(c["term"], g["token"]))
+        free = F.filter(glosses, lambda g: ~F.array_contains(state["used"], g["pos"]) & stems_match(c["stem"], g["stem"]))
         bound = F.transform(F.array(F.try_element_at(free, F.lit(1))), lambda g: F.struct(g.alias("g"), F.coalesce(F.lit(GLOSS_BASE) * c["weight"] * g["idf"], F.lit(0.0)).alias("by_gloss")))
 
         def add(x: Column) -> Column:
@@ -101,13 +101,17 @@ def rank_semantic(
 
 
 def score_records(lexicon: DataFrame, tokens: list[str], concepts: list[Concept], allow_echo: bool = False) -> DataFrame:
-    array = concept_array(concepts)
+    spark = lexicon.sparkSession
+    array = F.transform(concept_array(concepts), lambda c: c.withField("stem", singularish(c["term"])))
     terms = sorted({c.term for c in concepts})
     n = max(1, lexicon.count())
     exploded = lexicon.select("id", F.posexplode(gloss_tokens(F.col("tags"))).alias("pos", "token"))
-    vocabulary = document_frequency(lexicon).where(F.exists(F.array(*map(F.lit, terms)).cast("array<string>"), lambda t: terms_match(F.col("token"), t)))
-    weighed = vocabulary.select("token", idf(F.lit(float(n)), F.col("df")).alias("idf"))
-    hits = exploded.join(weighed, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "token", "idf"))).alias("__glosses"))
+    stems = spark.createDataFrame([(t,) for t in terms], "term string").select(singularish(F.col("term")).alias("y")).distinct()
+    keyed = document_frequency(lexicon).withColumn("stem", singularish(F.col("token")))
+    alike = (F.left(F.col("stem"), F.lit(2)) == F.left(F.col("y"), F.lit(2))) & stems_match(F.col("stem"), F.col("y"))
+    vocabulary = keyed.join(F.broadcast(stems), alike, "left_semi")  # a row for each concept, which the caps bound
+    weighed = vocabulary.select("token", "stem", idf(F.lit(float(n)), F.col("df")).alias("idf"))
+    hits = exploded.join(weighed, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "stem", "idf"))).alias("__glosses"))
 
     word, latin = F.lower("word"), fold_diacritics(F.lower("translit"))
     at = lexicon.withColumns({"__word": word, "__latin": latin, "__direct": _direct(tokens, word, F.lower("system"), F.lower("etymology"))})
@@ -125,7 +129,7 @@ def score_records(lexicon: DataFrame, tokens: list[str], concepts: list[Concept]
         F.transform("__direct", lambda x: x["m"]).alias("matched"),
         F.array().cast("array<int>").alias("used"),
     ).cast(_STATE)
-    none = F.array().cast("array<struct<pos:int,token:string,idf:double>>")
+    none = F.array().cast("array<struct<pos:int,stem:string,idf:double>>")
     state = _fold(array, F.coalesce("__glosses", none), F.col("__word"), F.col("__latin"), start)
     at = at.select("*", F.explode(F.array(state)).alias("__state"))  # a generator: the filter on the score cannot fold twice
     score, matched = F.col("__state.score"), F.col("__state.matched")
