@@ -8,8 +8,9 @@ the groups left after the last pass are exactly the repeated windows.
 What enters the passes is thinned first, without loss. Every window picks its anchor, the place of its smallest
 gram hash; equal windows pick the same place, so windows whose anchor hash occurs once cannot repeat. Only
 anchors whose hash occurs again are joined back to their texts and cut into segments of adjacent windows.
-Segments are dealt by anchor hash; anchors met more than ``crowd`` times (hot passages, large groups of copies)
-are dealt by window instead: a partial aggregate finds the first place of each window and a join marks the others.
+Segments are dealt by anchor hash; a task folds those of equal content to the first before it orders windows. Anchors met
+more than ``crowd`` times are dealt by window instead: a partial aggregate finds the first place of each window and a
+join, which can be split, marks the others.
 Exact copies of a whole text are told by its SHA-256 and removed as a whole.
 
 Defined results: a null text is empty; texts shorter than ``length`` are never touched; a null id comes after all
@@ -24,6 +25,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +34,7 @@ from .common import as_bytes, materialise, shuffle_partitions
 
 LENGTH = 100  # bytes of a repeat
 GRAM = 32  # bytes of a gram; a power of two
-CROWD = 4000  # occurrences of an anchor hash beyond which its windows are dealt one by one
+CROWD = 20_000  # segments of one anchor hash (about 3 MB) that one task may order
 PIECE = 1 << 19  # windows of a text that are scanned at once
 LAST = (1 << 63) - 1  # stands for a null id
 _LOW = np.uint64((1 << 20) - 1)
@@ -142,6 +144,11 @@ def _scan(length: int, gram: int):
     return run
 
 
+SEGMENT = "h long, id long, tie long, a long, lo long, hi long, bytes binary"
+SEGMENT_NAMES = [f.split()[0] for f in SEGMENT.split(", ")]
+RUN = "id long, tie long, s long, e long"
+
+
 def _window_hash(text: bytes, length: int) -> np.ndarray:
     """A 64-bit hash of every window of ``length`` bytes."""
     data = np.frombuffer(text, np.uint8)
@@ -160,11 +167,10 @@ def _window_hash(text: bytes, length: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _cut(length: int, crowd: int, windows: bool):
-    """Worker: texts with their repeated anchors; out: segments, or the windows of crowded anchors."""
+def _cut(length: int, crowd: int, crowded: bool):
+    """Worker: texts with their repeated anchors; out: the segments of the anchors that are crowded, or of those that are not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "wh", "id", "tie", "p"] if windows else ["h", "id", "tie", "a", "lo", "hi", "bytes"]
         for batch in batches:
             ids, ties = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             found = batch.column(3)
@@ -174,27 +180,19 @@ def _cut(length: int, crowd: int, windows: bool):
             held = 0
 
             def flush(out=out):
-                columns = [pa.array(np.concatenate(x)) for x in list(zip(*out, strict=True))[: len(names) - (not windows)]]
-                if not windows:
-                    columns.append(pa.array([b for o in out for b in o[-1]], pa.binary()))
-                return pa.RecordBatch.from_arrays(columns, names)
+                columns = [pa.array(np.concatenate(x)) for x in list(zip(*out, strict=True))[:-1]]
+                return pa.RecordBatch.from_arrays([*columns, pa.array([b for o in out for b in o[-1]], pa.binary())], SEGMENT_NAMES)
 
             for i, text in enumerate(as_bytes(batch.column(2))):
                 own = slice(offsets[i], offsets[i + 1])
                 h, a, lo, hi, n = (f[own] for f in fields)
-                some = (n > crowd) == windows
+                some = (n > crowd) == crowded
                 if not some.any():
                     continue
                 h, a, lo, hi = h[some], a[some], lo[some], hi[some]
-                if windows:
-                    size = hi - lo + 1
-                    p = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-                    out.append((np.repeat(h, size), _window_hash(text, length)[p], np.full(len(p), ids[i]), np.full(len(p), ties[i]), p))
-                    held += len(p)
-                else:
-                    out.append((h, np.full(len(h), ids[i]), np.full(len(h), ties[i]), a, lo, hi, [text[x : y + length] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]))
-                    held += len(h) * 20
-                if held > 200_000:
+                out.append((h, np.full(len(h), ids[i]), np.full(len(h), ties[i]), a, lo, hi, [text[x : y + length] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]))
+                held += len(h)
+                if held > 10_000:
                     yield flush()
                     out.clear()
                     held = 0
@@ -204,12 +202,40 @@ def _cut(length: int, crowd: int, windows: bool):
     return run
 
 
+def _windows(length: int):
+    """Worker: segments; out: each of their windows with a hash of its bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                batch = whole.slice(at, 4096)
+                h, ids, ties, lo, hi = (batch.column(c).to_numpy() for c in ("h", "id", "tie", "lo", "hi"))
+                size = hi - lo + 1
+                p = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+                hashes = np.concatenate([_window_hash(b, length) for b in batch.column("bytes").to_pylist()] or [np.zeros(0, np.int64)])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.repeat(h, size), hashes, np.repeat(ids, size), np.repeat(ties, size), p)], ["h", "wh", "id", "tie", "p"])
+
+    return run
+
+
 def _order(length: int):
     """Worker: segments sorted by anchor hash; out: runs of repeated windows (id, tie, s, e)."""
 
     def solve(rows: pa.Table) -> pa.RecordBatch | None:
-        h, ids, ties, a, lo, hi = (rows.column(c).to_numpy() for c in ("h", "id", "tie", "a", "lo", "hi"))
+        h, ids, ties, a, lo, hi = (rows.column(c).to_numpy() for c in SEGMENT_NAMES[:-1])
         parts = rows.column("bytes").to_pylist()
+        # Equal segments of one anchor first: all windows of the later ones repeat, only the first goes on.
+        same = pd.factorize(np.array([*parts, None], dtype=object)[:-1])[0]
+        order = np.lexsort((a, ties, ids, lo - a, same, h))
+        keys = [x[order] for x in (h, same, lo - a)]
+        head = np.concatenate(([True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys])))
+        of_head = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
+        own = (ids[order] == ids[of_head]) & (ties[order] == ties[of_head]) & (a[order] == a[of_head])  # a repeated row
+        later, order = order[~own], order[head]
+        out = [(ids[later], ties[later], lo[later], hi[later])]
+        h, ids, ties, a, lo, hi = (x[order] for x in (h, ids, ties, a, lo, hi))
+        parts = [parts[i] for i in order.tolist()]
+
         data = b"".join(parts)
         base = np.cumsum([0, *map(len, parts)])[:-1]
         size = hi - lo + 1
@@ -219,19 +245,17 @@ def _order(length: int):
         _, of_h = np.unique(h, return_inverse=True)
         # equal windows stand at the same distance from their anchor, so that distance is the first digit
         at, group = radix_groups(data, base[of] + inner, of_h[of] * (length + 1) + (a[of] - place), length)
-        if not len(at):
-            return None
-        order = np.lexsort((place[at], ties[of[at]], ids[of[at]], group))
-        at, group = at[order], group[order]
-        key = (ids[of[at]], ties[of[at]], place[at])
-        first = np.concatenate(([True], group[1:] != group[:-1]))
-        head = np.flatnonzero(first)[np.cumsum(first) - 1]
-        later = ~np.logical_and.reduce([k == k[head] for k in key])
-        i, t, p = (k[later] for k in key)
-        order = np.lexsort((p, t, i))
-        i, t, p = i[order], t[order], p[order]
-        runs = np.array(list(_runs((i, t), p)), np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (i[runs[:, 0]], t[runs[:, 0]], p[runs[:, 0]], p[runs[:, 1]])], ["id", "tie", "s", "e"])
+        if len(at):
+            order = np.lexsort((place[at], ties[of[at]], ids[of[at]], group))
+            at, group = at[order], group[order]
+            first = np.concatenate(([True], group[1:] != group[:-1]))  # of equal windows the first stays
+            i, t, p = (k[~first] for k in (ids[of[at]], ties[of[at]], place[at]))
+            order = np.lexsort((p, t, i))
+            i, t, p = i[order], t[order], p[order]
+            runs = np.array(list(_runs((i, t), p)), np.int64).reshape(-1, 2)
+            out.append((i[runs[:, 0]], t[runs[:, 0]], p[runs[:, 0]], p[runs[:, 1]]))
+        found = [np.concatenate(x) for x in zip(*out, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["id", "tie", "s", "e"]) if len(found[0]) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -307,15 +331,16 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     by_text = materialise(by_text, "dedup-anchors")
 
     joined = texts.join(by_text.hint("shuffle_hash"), ["id", "tie"]).select("id", "tie", "text", "found")
-    segments = joined.mapInArrow(_cut(length, crowd, False), "h long, id long, tie long, a long, lo long, hi long, bytes binary")
-    dealt = segments.repartition(shuffle_partitions(spark), "h").sortWithinPartitions("h")
-    quiet = dealt.mapInArrow(_order(length), "id long, tie long, s long, e long")
-
-    windows = joined.mapInArrow(_cut(length, crowd, True), "h long, wh long, id long, tie long, p long")
-    place = F.struct("id", "tie", "p")
-    heads = windows.groupBy("h", "wh").agg(F.min(place).alias("head"), F.max(place).alias("tail")).where("head <> tail").select("h", "wh", "head")
-    crowded = windows.join(heads, ["h", "wh"]).where(place != F.col("head")).select("id", "tie", F.col("p").alias("s"), F.col("p").alias("e"))
-    runs = materialise(quiet.unionByName(crowded), "dedup-runs")
+    quiet = joined.mapInArrow(_cut(length, crowd, False), SEGMENT)
+    dealt = quiet.repartition(shuffle_partitions(spark), "h").sortWithinPartitions("h")
+    ordered = dealt.mapInArrow(_order(length), RUN)
+
+    crowded = joined.mapInArrow(_cut(length, crowd, True), SEGMENT)
+    windows = crowded.mapInArrow(_windows(length), "h long, wh long, id long, tie long, p long")
+    at = F.struct("id", "tie", "p")
+    first = windows.groupBy("h", "wh").agg(F.min(at).alias("head"), F.max(at).alias("tail")).where("head <> tail").select("h", "wh", "head")
+    single = windows.join(first, ["h", "wh"]).where(at != F.col("head")).select("id", "tie", F.col("p").alias("s"), F.col("p").alias("e"))
+    runs = materialise(ordered.unionByName(single), "dedup-runs")
 
     by_run = runs.groupBy("id", "tie").agg(F.collect_set(F.struct("s", "e")).alias("runs"))
     cut = texts.join(by_run.hint("shuffle_hash"), ["id", "tie"]).select("id", "tie", "text", "runs")
