@@ -1,17 +1,19 @@
 """Chat formatting with linked tool calls, in built-in functions only.
 
-A message whose text is a JSON object may carry ``tools`` (name and JSON schema of the arguments), ``tool_calls`` (id,
-name, arguments, and the ids it needs in ``depends_on``) or, for the role ``tool``, a result with its
-``tool_call_id``. Calls and results meet in a hash join on (conversation, id), so even a conversation with a third of
+A message whose text is a JSON object with at least one of the keys ``content``, ``tools`` (name and JSON schema of the
+arguments), ``tool_calls`` (id, name, arguments, and the ids it needs in ``depends_on``) and ``tool_call_id`` (for the role
+``tool``, a result) is read by these keys; its other fields, and those of its calls, go to ``extra``. Calls and results meet in a hash join on (conversation, id), so even a conversation with a third of
 all rows is spread by id and never gathered. A result's place is after its call, a call's place after the results it
 needs; the order is topological: ``rank`` is the largest turn among a message and all it rests on, ``level`` the length
 of the longest chain of links before it. Arguments are checked against the schema that the conversation declares.
 Each message becomes one line of canonical JSON: keys sorted, no blanks, absent fields left out.
 
-Defined results: a null or plain text is content; text that is not valid JSON is content as well; of calls that share an id
+Defined results: a null or plain text is content; text that is not valid JSON or has none of the keys is content as well;
+``tools`` are carried as given, and ``tool_calls`` that are not a list of objects go to ``extra``; an arguments string that is
+not JSON is carried as it is; of calls that share an id
 in one conversation the first by (turn, place) is linked, the others are ``duplicate``; a result without a call is an
-``orphan``; calls in a cycle of dependencies are ``cyclic`` and keep the order of their turns; null conversations or ids never
-link; repeated rows stay as they are; an empty table gives an empty table; only the named columns are carried.
+``orphan``; calls in a cycle of dependencies are ``cyclic`` and keep the order of their turns; null conversations, turns or ids never
+link, but their calls stay in the message; repeated rows stay as they are; an empty table gives an empty table; only the named columns are carried.
 """
 
 from __future__ import annotations
@@ -25,6 +27,9 @@ _CALL = "struct<id:string,name:string,arguments:variant,depends_on:array<string>
 _TOOL = "struct<name:string,parameters:struct<required:array<string>,additionalProperties:boolean,properties:map<string,struct<type:string>>>>"
 _MESSAGE = f"struct<content:variant,tool_call_id:string,tool_calls:array<{_CALL}>,tools:array<{_TOOL}>>"
 
+PROTOCOL = ("content", "tool_call_id", "tool_calls", "tools")
+_OF_CALL = ("id", "name", "arguments", "depends_on")
+
 # JSON schema types and the variant kinds that satisfy them.
 KINDS = {
     "string": "STRING",
@@ -38,11 +43,31 @@ KINDS = {
 
 
 def parsed(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(conv, turn, role, text, m): ``m`` is the message's object or null if its text is plain."""
+    """(conv, turn, role, text, m, tools, extra, call_extras): ``m`` is the message's object or null if its text is plain.
+
+    ``tools`` and ``extra`` are variants, ``call_extras`` the JSON texts of what else each call has.
+    """
     text = F.col(text_col).cast("string")
     looks = text.rlike(r"^\s*\{") & F.try_parse_json(text).isNotNull()
-    body = F.when(looks, F.from_json(text, _MESSAGE))
-    return df.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), text.alias("text"), body.alias("m"))
+    fields = F.when(looks, F.from_json(text, "map<string,variant>"))
+    at = df.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), text.alias("text"), fields.alias("fields"))
+    spoken = F.arrays_overlap(F.map_keys("fields"), F.array(*map(F.lit, PROTOCOL)))
+    at = at.withColumn("m", F.when(spoken, F.from_json("text", _MESSAGE)))
+    listed = F.coalesce(F.forall("m.tool_calls", lambda c: c.isNotNull()), F.lit(False))
+    at = at.withColumn("m", F.col("m").withField("tool_calls", F.when(listed, F.col("m.tool_calls"))))
+    unread = lambda k, v: ~k.isin(*PROTOCOL) | ((k == "tool_calls") & ~listed & (F.schema_of_variant(v) != "VOID"))
+    calls = F.from_json("text", "struct<tool_calls:array<map<string,variant>>>")["tool_calls"]
+    return at.select(
+        "conv", "turn", "role", "text", "m",
+        F.when(F.col("m").isNotNull(), F.try_element_at("fields", F.lit("tools"))).alias("tools"),
+        F.when(F.col("m").isNotNull(), _extra(F.map_filter("fields", unread))).alias("extra"),
+        F.when(F.col("m.tool_calls").isNotNull(), F.transform(calls, lambda c, i: F.to_json(_extra(F.map_filter(c, lambda k, v: ~k.isin(*_OF_CALL) | ((k == "depends_on") & F.get("m.tool_calls", i)["depends_on"].isNull() & (F.schema_of_variant(v) != "VOID"))))))).alias("call_extras"),
+    )
+
+
+def _extra(fields: Column) -> Column:
+    """The fields as one variant, whose keys are in order; null if there are none."""
+    return F.when(F.size(fields) > 0, F.try_parse_json(F.to_json(fields)))
 
 
 def _arguments(call: Column) -> Column:
@@ -74,8 +99,11 @@ def problems(arguments: Column, schema: Column) -> Column:
 
 def _calls(messages: DataFrame) -> DataFrame:
     """One row per call: the linked one of each (conv, id) has ``nth`` 0."""
-    some = messages.where("m.tool_calls is not null").select("conv", "turn", "row", F.posexplode("m.tool_calls").alias("at", "call"))
-    return some.select("conv", "turn", "row", "at", F.col("call.id").alias("id"), F.col("call.name").alias("name"), _arguments(F.col("call")).alias("arguments"), F.coalesce("call.depends_on", F.array().cast("array<string>")).alias("needs"))
+    some = messages.where("m.tool_calls is not null").select("conv", "turn", "row", "call_extras", F.posexplode("m.tool_calls").alias("at", "call"))
+    return some.select(
+        "conv", "turn", "row", "at", F.col("call.id").alias("id"), F.col("call.name").alias("name"), _arguments(F.col("call")).alias("arguments"),
+        F.try_variant_get("call.arguments", "$", "string").alias("raw"), F.coalesce("call.depends_on", F.array().cast("array<string>")).alias("needs"), F.get("call_extras", F.col("at")).alias("extra"),
+    )
 
 
 def linked(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -87,8 +115,8 @@ def linked(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", rol
     schemas = schemas.select("conv", "name", F.coalesce("schema", F.from_json(F.lit("{}"), _TOOL)["parameters"]).alias("schema"))
     checked = calls.join(schemas, ["conv", "name"], "left").withColumn("problems", problems(F.col("arguments"), F.col("schema"))).drop("schema")
     text_of = F.to_json(F.struct(F.col("arguments").alias("a")))
-    checked = materialise(checked.select("conv", "turn", "row", "at", "id", "name", F.when(F.col("arguments").isNotNull(), text_of.substr(F.lit(6), F.length(text_of) - 6)).alias("arguments"), "needs", "problems"), "chat-calls")
-    first = checked.where("conv is not null and id is not null").groupBy("conv", "id").agg(F.min(F.struct("turn", "at")).alias("f"))
+    checked = materialise(checked.select("conv", "turn", "row", "at", "id", "name", F.when(F.col("arguments").isNotNull(), text_of.substr(F.lit(6), F.length(text_of) - 6)).otherwise(F.col("raw")).alias("arguments"), "needs", "problems", "extra"), "chat-calls")
+    first = checked.where("conv is not null and turn is not null and id is not null").groupBy("conv", "id").agg(F.min(F.struct("turn", "at")).alias("f"))
     first = first.select("conv", "id", F.col("f.turn").alias("call_turn"), F.col("f.at").alias("call_at"))
     results = messages.where("role = 'tool' and m.tool_call_id is not null").select("conv", F.col("m.tool_call_id").alias("id"), "turn")
     answered = results.groupBy("conv", "id").agg(F.count("*").alias("n_results"), F.min("turn").alias("result_turn"))
@@ -98,14 +126,14 @@ def linked(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", rol
 
     per_call = checked.join(nodes.join(ranked, ["conv", "id"], "left"), ["conv", "id"], "left")
     status = (
-        F.when(F.col("call_turn").isNull(), "unnamed")
+        F.when(F.col("call_turn").isNull() | F.col("turn").isNull(), "unnamed")
         .when((F.col("call_turn") != F.col("turn")) | (F.col("call_at") != F.col("at")), "duplicate")
         .when(F.col("cyclic"), "cyclic")
         .when(F.col("n_results").isNull(), "unanswered")
         .otherwise("answered")
     )
     # canonical: the keys of each object in sorted order
-    item = F.struct(F.col("at"), F.struct(F.col("arguments"), F.col("id"), F.col("name"), F.when(F.size("problems") > 0, F.col("problems")).alias("problems"), status.alias("status")).alias("c"))
+    item = F.struct(F.col("at"), F.struct(F.col("arguments"), F.when(F.size("needs") > 0, F.col("needs")).alias("depends_on"), F.col("extra"), F.col("id"), F.col("name"), F.when(F.size("problems") > 0, F.col("problems")).alias("problems"), status.alias("status")).alias("c"))
     per_message = per_call.groupBy("conv", "turn", "row").agg(
         F.sort_array(F.collect_set(item)).alias("items"),
         F.max("rank").alias("call_rank"),
@@ -114,7 +142,9 @@ def linked(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", rol
     # Only messages with calls and results with an id take part in joins; plain ones, most of all, are never dealt by a key.
     tool_id = F.when(F.col("role") == "tool", F.col("m.tool_call_id"))
     marked = messages.withColumn("id", tool_id).withColumn("has_calls", F.coalesce(F.size("m.tool_calls") > 0, F.lit(False)))
-    calling = marked.where("has_calls").join(per_message, ["conv", "turn", "row"], "left")
+    of_message = per_message.withColumnsRenamed({k: f"{k}_of" for k in ("conv", "turn", "row")})
+    same = F.col("conv").eqNullSafe(F.col("conv_of")) & F.col("turn").eqNullSafe(F.col("turn_of")) & (F.col("row") == F.col("row_of"))
+    calling = marked.where("has_calls").join(of_message, same, "left").drop("conv_of", "turn_of", "row_of")
     at = calling.unionByName(marked.where("not has_calls"), allowMissingColumns=True)
     owner = nodes.join(ranked, ["conv", "id"], "left").select("conv", "id", F.col("call_turn").alias("own_turn"), F.coalesce("rank", "call_turn").alias("own_rank"), F.coalesce("level", F.lit(0)).alias("own_level"))
     at = at.where("id is not null").join(owner, ["conv", "id"], "left").unionByName(at.where("id is null"), allowMissingColumns=True)
@@ -123,7 +153,8 @@ def linked(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", rol
     content = F.when(F.col("m").isNull(), F.col("text")).otherwise(
         F.when(F.schema_of_variant("m.content") == "STRING", F.try_variant_get("m.content", "$", "string")).when(F.col("m.content").isNotNull(), F.to_json("m.content"))
     )
-    line = F.struct(content.alias("content"), F.col("role"), state.alias("status"), F.col("id").alias("tool_call_id"), F.transform("items", lambda x: x["c"]).alias("tool_calls"))
+    of_call = F.transform("items", lambda x: x["c"].withField("extra", F.try_parse_json(x["c"]["extra"])))
+    line = F.struct(content.alias("content"), F.col("extra"), F.col("role"), state.alias("status"), F.col("m.tool_call_id").alias("tool_call_id"), of_call.alias("tool_calls"), F.col("tools"))
     none = F.lit(0).cast("long")
     return at.select(
         F.col("conv").alias(conv_col),

@@ -58,6 +58,37 @@ def test_plain_rows(spark, sf):
     assert chat.linked(given.limit(0)).count() == 0
 
 
+def test_nothing_of_a_message_is_lost(spark):
+    other = {"id": "b", "type": "function", "arguments": "{broken", "name": "get", "depends_on": "a"}
+    rows = [
+        (1, 0, "user", '{"a": 1}'),
+        (1, 1, "system", {"content": "hi", "tools": [TOOL], "model": {"z": 1, "b": None}}),
+        (1, 2, "assistant", {"tool_calls": [call("get", {"q": "w"}, "a"), other]}),
+        (1, 3, "tool", {"tool_call_id": "a", "result": [1, None]}),
+        (1, 4, "assistant", {"content": "x", "tool_calls": {"id": "c"}}),
+        (1, 5, "assistant", {"content": "x", "tool_calls": None, "tool_call_id": "q"}),
+        (None, 6, "assistant", {"tool_calls": [call("get", {"q": "w"}, "a")]}),
+        (1, None, "assistant", {"tool_calls": [call("get", {"q": "v"}, "a", ["b"])]}),
+        (1, 8, "assistant", {"tool_calls": ["odd", call("get", {}, "e")]}),
+    ]
+    df = spark.createDataFrame([(*r[:3], r[3] if isinstance(r[3], str) else json.dumps(r[3]), "clash") for r in rows], SCHEMA)
+    got = {(r["conv_id"], r["turn"]): r for r in chat.linked(df).collect()}
+    by = {k: json.loads(r["json"]) for k, r in got.items()}
+    assert by[1, 0] == {"content": '{"a": 1}', "role": "user", "status": "plain"}
+    assert by[1, 1]["tools"] == [TOOL] and by[1, 1]["extra"] == {"model": {"z": 1, "b": None}}
+    first, second = by[1, 2]["tool_calls"]
+    assert first["status"] == "answered" and "extra" not in first
+    assert second["arguments"] == "{broken" and second["problems"] == ["not an object"] and second["extra"] == {"type": "function", "depends_on": "a"}
+    assert by[1, 3]["extra"] == {"result": [1, None]} and by[1, 3]["status"] == "result"
+    assert by[1, 4]["extra"] == {"tool_calls": {"id": "c"}} and "extra" not in by[1, 5] and by[1, 5]["tool_call_id"] == "q"
+    for k in ((None, 6), (1, None)):
+        assert got[k]["status"] == "calls" and got[k]["n_calls"] == 1 and by[k]["tool_calls"][0]["status"] == "unnamed"
+    assert by[1, None]["tool_calls"][0]["depends_on"] == ["b"]
+    assert by[1, 8]["extra"]["tool_calls"][0] == "odd" or [c.get("id") for c in by[1, 8]["tool_calls"]] == ["odd", "e"]
+    for r in got.values():
+        assert list(json.loads(r["json"])) == sorted(json.loads(r["json"]))
+
+
 def test_plan_is_native(spark, sf):
     plan = chat.linked(spark.read.parquet(f"{sf}/conversations.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
