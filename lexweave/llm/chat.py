@@ -5,7 +5,12 @@ arguments), ``tool_calls`` (id, name, arguments, and the ids it needs in ``depen
 ``tool``, a result) is read by these keys; its other fields, and those of its calls, go to ``extra``. Calls and results meet in a hash join on (conversation, id), so even a conversation with a third of
 all rows is spread by id and never gathered. A result's place is after its call, a call's place after the results it
 needs; the order is topological: ``rank`` is the largest turn among a message and all it rests on, ``level`` the length
-of the longest chain of links before it. Arguments are checked against the schema that the conversation declares.
+of the longest chain of links before it. Arguments are checked against the schema that the conversation declares,
+to ``DEPTH`` levels of nested objects and arrays: ``type`` (a name or a list), ``enum``, ``const``, ``minimum``, ``maximum``,
+``exclusiveMinimum``, ``exclusiveMaximum``, ``minLength``, ``maxLength``, ``minItems``, ``maxItems``, ``required``, ``properties``,
+``additionalProperties`` and ``items`` (one schema). Any other keyword that restricts (``pattern``, ``format``, ``anyOf``, ``$ref``, ...),
+one of an unexpected form and all below ``DEPTH`` is listed in the call's ``unchecked``. Numbers inside arrays or objects of
+``enum`` and ``const`` are compared as they are written.
 Each message becomes one line of canonical JSON: keys sorted, no blanks, absent fields left out.
 
 Defined results: a null or plain text is content; text that is not valid JSON or has none of the keys is content as well;
@@ -21,10 +26,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import let, materialise
 
 _CALL = "struct<id:string,name:string,arguments:variant,depends_on:array<string>>"
-_TOOL = "struct<name:string,parameters:struct<required:array<string>,additionalProperties:boolean,properties:map<string,struct<type:string>>>>"
+_TOOL = "struct<name:string,parameters:string>"
 _MESSAGE = f"struct<content:variant,tool_call_id:string,tool_calls:array<{_CALL}>,tools:array<{_TOOL}>>"
 
 PROTOCOL = ("content", "tool_call_id", "tool_calls", "tools")
@@ -40,6 +45,21 @@ KINDS = {
     "object": "OBJECT.*",
     "null": "VOID",
 }
+# The keywords that are checked with the variant kinds of their values, and those that restrict nothing.
+_NUMBER = KINDS["number"]
+CHECKED = {
+    "type": "STRING|ARRAY<STRING>",
+    "enum": "ARRAY.*",
+    "const": ".*",
+    **dict.fromkeys(("minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum"), _NUMBER),
+    **dict.fromkeys(("minLength", "maxLength", "minItems", "maxItems"), "BIGINT"),
+    "required": "ARRAY<STRING>|ARRAY<VOID>",
+    "properties": "OBJECT.*",
+    "additionalProperties": "BOOLEAN|OBJECT.*",
+    "items": "OBJECT.*",
+}
+NOTES = "title description default example examples deprecated readOnly writeOnly $schema $id $comment".split()
+DEPTH = 16
 
 
 def parsed(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -76,25 +96,116 @@ def _arguments(call: Column) -> Column:
     return F.when(F.schema_of_variant(given) == "STRING", F.try_parse_json(F.try_variant_get(given, "$", "string"))).otherwise(given)
 
 
-def problems(arguments: Column, schema: Column) -> Column:
-    """What is wrong with the arguments: ``missing:k``, ``unknown:k``, ``type:k``, or ``not an object``; sorted."""
-    fields = F.from_json(F.to_json(F.struct(arguments.alias("a"))), "struct<a:map<string,variant>>")["a"]
-    given = F.coalesce(F.map_keys(fields), F.array().cast("array<string>"))
-    types = schema["properties"]
-    known = F.coalesce(F.map_keys(types), F.array().cast("array<string>"))
-    missing = F.transform(F.array_except(F.coalesce(schema["required"], F.array().cast("array<string>")), given), lambda k: F.concat(F.lit("missing:"), k))
-    unknown = F.when(schema["additionalProperties"] == F.lit(False), F.transform(F.array_except(given, known), lambda k: F.concat(F.lit("unknown:"), k))).otherwise(F.array().cast("array<string>"))
+def _is(kind: Column, kinds: str) -> Column:
+    return F.coalesce(kind.rlike(f"^(?:{kinds})$"), F.lit(False))
+
+
+def _fields(v: Column) -> Column:
+    """The fields of a variant object; none if it is not one."""
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>"))
+    return F.coalesce(F.when(_is(F.schema_of_variant(v), "OBJECT.*"), F.try_variant_get(v, "$", "map<string,variant>")), none)
+
+
+def _members(v: Column) -> Column:
+    """The members of a variant array; none if it is not one."""
+    return F.coalesce(F.when(_is(F.schema_of_variant(v), "ARRAY.*"), F.try_variant_get(v, "$", "array<variant>")), F.array().cast("array<variant>"))
+
+
+def _text(v: Column) -> Column:
+    return F.to_json(F.struct(v.alias("v")))
+
+
+def _order(a: Column, b: Column) -> Column:
+    """Sign of a - b of two variants that are numbers; whole numbers are compared without rounding."""
+    both = lambda t: F.signum(F.when(F.try_variant_get(a, "$", t) < F.try_variant_get(b, "$", t), -1).when(F.try_variant_get(a, "$", t) > F.try_variant_get(b, "$", t), 1).otherwise(0))
+    whole = _is(F.schema_of_variant(a), "BIGINT") & _is(F.schema_of_variant(b), "BIGINT")
+    numbers = _is(F.schema_of_variant(a), _NUMBER) & _is(F.schema_of_variant(b), _NUMBER)
+    return F.when(whole, both("bigint")).when(numbers, both("double"))
+
+
+def _equal(a: Column, b: Column) -> Column:
+    return F.coalesce(_order(a, b) == 0, _text(a) == _text(b))
+
+
+_STRINGS = "array<string>"
+_NODES = "array<struct<at:string,v:variant,s:variant>>"
+
+
+def _node(x: Column) -> Column:
+    """What a place, its value and the map of its schema have: faults, unchecked keywords and the nodes below."""
+    at, v, s, inner, members = x["at"], x["v"], x["s"], x["inner"], x["members"]
+    kind = F.schema_of_variant(v)
+    place = F.when(at == "", "$").otherwise(at)
+    below = lambda k: F.when(at == "", k).otherwise(F.concat(at, F.lit("."), k))
+    said = lambda k: F.try_element_at(s, F.lit(k))
+    form = lambda k: _is(F.schema_of_variant(said(k)), CHECKED[k])
+    whole = F.try_variant_get(v, "$", "double")
+
+    def fits(name: Column) -> Column:
+        out = F.lit(False)
+        for known, kinds in KINDS.items():
+            is_kind = _is(kind, kinds) | (_is(kind, _NUMBER) & (whole == F.floor(whole)) if known == "integer" else F.lit(False))
+            out = out | ((name == known) & is_kind)
+        return F.coalesce(out, F.lit(False))
+
+    one = _is(F.schema_of_variant(said("type")), "STRING")
+    types = F.when(one, F.array(F.try_variant_get(said("type"), "$", "string"))).when(form("type"), F.try_variant_get(said("type"), "$", _STRINGS))
+    known_types = F.coalesce(F.forall(types, lambda t: t.isin(*KINDS)), F.lit(False))
+    tests = {
+        "type": known_types & ~F.exists(types, fits),
+        "enum": form("enum") & ~F.exists(_members(said("enum")), lambda e: _equal(v, e)),
+        "const": said("const").isNotNull() & ~_equal(v, said("const")),
+        "minimum": form("minimum") & (_order(v, said("minimum")) < 0),
+        "maximum": form("maximum") & (_order(v, said("maximum")) > 0),
+        "exclusiveMinimum": form("exclusiveMinimum") & (_order(v, said("exclusiveMinimum")) <= 0),
+        "exclusiveMaximum": form("exclusiveMaximum") & (_order(v, said("exclusiveMaximum")) >= 0),
+    }
+    for what, size in (("Length", F.when(_is(kind, "STRING"), F.length(F.try_variant_get(v, "$", "string")))), ("Items", F.when(_is(kind, "ARRAY.*"), F.size(members)))):
+        tests[f"min{what}"] = form(f"min{what}") & (size < F.try_variant_get(said(f"min{what}"), "$", "bigint"))
+        tests[f"max{what}"] = form(f"max{what}") & (size > F.try_variant_get(said(f"max{what}"), "$", "bigint"))
+    faults = F.filter(F.array(*[F.when(t, F.concat(F.lit(f"{k}:"), place)) for k, t in tests.items()]), lambda f: f.isNotNull())
+    is_object = _is(kind, "OBJECT.*")
+    given, parts = F.map_keys(inner), _fields(said("properties"))
+    required = F.coalesce(F.when(is_object & form("required"), F.try_variant_get(said("required"), "$", _STRINGS)), F.array().cast(_STRINGS))
+    missing = F.transform(F.array_except(required, given), lambda k: F.concat(F.lit("missing:"), below(k)))
+    more = F.array_except(given, F.map_keys(parts))
+    closed = F.coalesce(_is(F.schema_of_variant(said("additionalProperties")), "BOOLEAN") & ~F.try_variant_get(said("additionalProperties"), "$", "boolean"), F.lit(False))
+    unknown = F.when(closed, F.transform(more, lambda k: F.concat(F.lit("unknown:"), below(k)))).otherwise(F.array().cast(_STRINGS))
+
+    forms = F.create_map(*[F.lit(y) for k, kinds in CHECKED.items() for y in (k, f"^(?:{kinds})$")])
+    expected = lambda k: k.isin(*NOTES) | F.coalesce(F.rlike(F.schema_of_variant(F.try_element_at(s, k)), F.try_element_at(forms, k)), F.lit(False)) & ((k != "type") | known_types)
+    unchecked = F.transform(F.filter(F.map_keys(s), lambda k: ~expected(k)), lambda k: F.concat(k, F.lit(":"), place))
+
+    child = lambda k, value, schema: F.struct(k.alias("at"), value.alias("v"), schema.alias("s"))
+    named = F.transform(F.array_intersect(given, F.map_keys(parts)), lambda k: child(below(k), F.try_element_at(inner, k), F.try_element_at(parts, k)))
+    other = F.when(form("additionalProperties") & _is(F.schema_of_variant(said("additionalProperties")), "OBJECT.*"), F.transform(more, lambda k: child(below(k), F.try_element_at(inner, k), said("additionalProperties")))).otherwise(F.array().cast(_NODES))
+    items = F.when(form("items"), F.transform(members, lambda m, i: child(F.concat(at, F.lit("["), i.cast("string"), F.lit("]")), m, said("items")))).otherwise(F.array().cast(_NODES))
+    return F.struct(F.concat(faults, missing, unknown).alias("faults"), unchecked.alias("unchecked"), F.concat(named.cast(_NODES), other.cast(_NODES), items.cast(_NODES)).alias("nodes"))
+
+
+def verdict(arguments: Column, schema: Column) -> Column:
+    """(problems, unchecked): ``missing:k``, ``unknown:k``, ``type:k``, ``enum:k``, ... by path, or ``not an object``, and the keywords not checked; sorted.
+
+    ``schema`` is a JSON text, null if the tool is not declared.
+    """
+    kind = f"struct<nodes:{_NODES},faults:{_STRINGS},unchecked:{_STRINGS}>"
+    start = F.struct(F.array(F.struct(F.lit("").alias("at"), arguments.alias("v"), F.try_parse_json(schema).alias("s"))).alias("nodes"), F.array().alias("faults"), F.array().alias("unchecked")).cast(kind)
+
+    def step(state: Column, _: Column) -> Column:
+        readable = lambda n: _is(F.schema_of_variant(n["s"]), "OBJECT.*")
+        opened = F.transform(F.filter(state["nodes"], readable), lambda n: F.struct(n["at"].alias("at"), n["v"].alias("v"), _fields(n["s"]).alias("s"), _fields(n["v"]).alias("inner"), _members(n["v"]).alias("members")))
+        seen = F.transform(opened, _node)
+        free = lambda n: F.coalesce(_is(F.schema_of_variant(n["s"]), "BOOLEAN") & F.try_variant_get(n["s"], "$", "boolean"), F.lit(False))
+        odd = F.transform(F.filter(state["nodes"], lambda n: ~readable(n) & ~free(n)), lambda n: F.concat(F.lit("schema:"), F.when(n["at"] == "", "$").otherwise(n["at"])))
+        return let(seen, lambda x: F.struct(F.flatten(x["nodes"]).alias("nodes"), F.concat(state["faults"], F.flatten(x["faults"])).alias("faults"), F.concat(state["unchecked"], odd, F.flatten(x["unchecked"])).alias("unchecked")).cast(kind))
 
-    def wrong(k: Column) -> Column:
-        want, kind = F.try_element_at(types, k)["type"], F.schema_of_variant(F.try_element_at(fields, k))
-        fits = F.lit(False)
-        for name, kinds in KINDS.items():
-            fits = fits | ((want == name) & kind.rlike(f"^(?:{kinds})"))
-        return want.isNotNull() & ~F.coalesce(fits, F.lit(False))
+    def told(state: Column) -> Column:
+        deep = F.transform(state["nodes"], lambda n: F.concat(F.lit("depth:"), n["at"]))
+        return F.struct(F.sort_array(state["faults"]).alias("problems"), F.sort_array(F.concat(state["unchecked"], deep)).alias("unchecked"))
 
-    typed = F.transform(F.filter(F.array_intersect(given, known), wrong), lambda k: F.concat(F.lit("type:"), k))
-    is_object = F.coalesce(F.schema_of_variant(arguments).startswith("OBJECT"), F.lit(False))
-    return F.when(~is_object, F.array(F.lit("not an object"))).when(schema.isNull(), F.array(F.lit("undeclared"))).otherwise(F.sort_array(F.concat(missing, unknown, typed)))
+    is_object = _is(F.schema_of_variant(arguments), "OBJECT.*")
+    only = lambda p: F.struct(F.array(F.lit(p)).alias("problems"), F.array().cast(_STRINGS).alias("unchecked"))
+    return F.when(~is_object, only("not an object")).when(schema.isNull(), only("undeclared")).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(DEPTH)), start, step, told))
 
 
 def _calls(messages: DataFrame) -> DataFrame:
@@ -112,10 +223,10 @@ def linked(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", rol
     calls = _calls(messages)
     tools = messages.where("m.tools is not null").select("conv", "turn", F.posexplode("m.tools").alias("at", "tool"))
     schemas = tools.groupBy("conv", F.col("tool.name").alias("name")).agg(F.min_by("tool.parameters", F.struct("turn", "at")).alias("schema"))
-    schemas = schemas.select("conv", "name", F.coalesce("schema", F.from_json(F.lit("{}"), _TOOL)["parameters"]).alias("schema"))
-    checked = calls.join(schemas, ["conv", "name"], "left").withColumn("problems", problems(F.col("arguments"), F.col("schema"))).drop("schema")
+    schemas = schemas.select("conv", "name", F.coalesce("schema", F.lit("{}")).alias("schema"))
+    checked = calls.join(schemas, ["conv", "name"], "left").withColumn("verdict", verdict(F.col("arguments"), F.col("schema")))
     text_of = F.to_json(F.struct(F.col("arguments").alias("a")))
-    checked = materialise(checked.select("conv", "turn", "row", "at", "id", "name", F.when(F.col("arguments").isNotNull(), text_of.substr(F.lit(6), F.length(text_of) - 6)).otherwise(F.col("raw")).alias("arguments"), "needs", "problems", "extra"), "chat-calls")
+    checked = materialise(checked.select("conv", "turn", "row", "at", "id", "name", F.when(F.col("arguments").isNotNull(), text_of.substr(F.lit(6), F.length(text_of) - 6)).otherwise(F.col("raw")).alias("arguments"), "needs", "verdict.problems", "verdict.unchecked", "extra"), "chat-calls")
     first = checked.where("conv is not null and turn is not null and id is not null").groupBy("conv", "id").agg(F.min(F.struct("turn", "at")).alias("f"))
     first = first.select("conv", "id", F.col("f.turn").alias("call_turn"), F.col("f.at").alias("call_at"))
     results = messages.where("role = 'tool' and m.tool_call_id is not null").select("conv", F.col("m.tool_call_id").alias("id"), "turn")
@@ -133,7 +244,7 @@ def linked(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", rol
         .otherwise("answered")
     )
     # canonical: the keys of each object in sorted order
-    item = F.struct(F.col("at"), F.struct(F.col("arguments"), F.when(F.size("needs") > 0, F.col("needs")).alias("depends_on"), F.col("extra"), F.col("id"), F.col("name"), F.when(F.size("problems") > 0, F.col("problems")).alias("problems"), status.alias("status")).alias("c"))
+    item = F.struct(F.col("at"), F.struct(F.col("arguments"), F.when(F.size("needs") > 0, F.col("needs")).alias("depends_on"), F.col("extra"), F.col("id"), F.col("name"), F.when(F.size("problems") > 0, F.col("problems")).alias("problems"), status.alias("status"), F.when(F.size("unchecked") > 0, F.col("unchecked")).alias("unchecked")).alias("c"))
     per_message = per_call.groupBy("conv", "turn", "row").agg(
         F.sort_array(F.collect_set(item)).alias("items"),
         F.max("rank").alias("call_rank"),

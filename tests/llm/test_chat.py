@@ -89,6 +89,39 @@ def test_nothing_of_a_message_is_lost(spark):
         assert list(json.loads(r["json"])) == sorted(json.loads(r["json"]))
 
 
+def test_schema_keywords(spark):
+    cases = [
+        ({"enum": ["a", 1]}, "b", ["enum:k"], []),
+        ({"enum": ["a", 1]}, 1.0, [], []),
+        ({"const": {"b": 1, "a": 2}}, {"a": 2, "b": 1}, [], []),
+        ({"minimum": 2, "exclusiveMaximum": 3}, 1, ["minimum:k"], []),
+        ({"minimum": 2, "exclusiveMaximum": 3}, 3.0, ["exclusiveMaximum:k"], []),
+        ({"minimum": 9007199254740993}, 9007199254740992, ["minimum:k"], []),
+        ({"type": ["string", "null"]}, None, [], []),
+        ({"type": ["string", "null"]}, 3, ["type:k"], []),
+        ({"type": "integer"}, 2.0, [], []),
+        ({"type": "integer"}, 2.5, ["type:k"], []),
+        ({"type": "array", "items": {"type": "integer"}, "maxItems": 1}, [1, "x"], ["maxItems:k", "type:k[1]"], []),
+        ({"type": "object", "required": ["a"], "properties": {"b": {"minLength": 2}}, "additionalProperties": False}, {"b": "é", "c": 1}, ["minLength:k.b", "missing:k.a", "unknown:k.c"], []),
+        ({"additionalProperties": {"type": "string"}}, {"x": 1}, ["type:k.x"], []),
+        ({"pattern": "(", "format": "date", "title": "t", "anyOf": []}, "x", [], ["anyOf:k", "format:k", "pattern:k"]),
+        ({"items": [{"type": "string"}], "type": "odd", "minimum": "2"}, [1], [], ["items:k", "minimum:k", "type:k"]),
+        (True, 1, [], []),
+        (False, 1, [], ["schema:k"]),
+    ]
+    tools = [{"name": f"t{i}", "parameters": {"type": "object", "properties": {"k": schema}}} for i, (schema, *_) in enumerate(cases)]
+    deep, value = {"type": "string"}, 1
+    for _ in range(chat.DEPTH):
+        deep, value = {"items": deep}, [value]
+    tools.append({"name": "deep", "parameters": {"properties": {"k": deep}}})
+    calls = [call(f"t{i}", {"k": v}, f"c{i}") for i, (_, v, *_) in enumerate(cases)] + [call("deep", {"k": value}, "d")]
+    got = rows_of(spark, [(1, 0, "system", {"tools": tools}), (1, 1, "assistant", {"tool_calls": calls})])
+    made = json.loads(got[1]["json"])["tool_calls"]
+    assert [(c.get("problems", []), c.get("unchecked", [])) for c in made[:-1]] == [(p, u) for *_, p, u in cases]
+    assert "problems" not in made[-1] and made[-1]["unchecked"][0].startswith("depth:k[0]")
+    assert got[1]["n_invalid"] == sum(bool(p) for *_, p, _ in cases)
+
+
 def test_plan_is_native(spark, sf):
     plan = chat.linked(spark.read.parquet(f"{sf}/conversations.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
