@@ -1,10 +1,14 @@
 """License scan: winnowed fingerprints of templates in an inverted index, then banded alignment.
 
-Templates and texts are cut into words. The index maps the winnowed word-gram hashes of every template to
-their places. The places of a text that meet the index lie on diagonals (text word minus template word); each cluster of
-near diagonals is a candidate, and a banded local alignment around it counts equal words in order, allowing words to be
-changed, added or dropped within the band. A candidate is reported if its matched words cover enough of the template;
-of reports that overlap, the one with more matched words stays.
+Templates and texts are cut into words. The index maps the winnowed word-gram hashes of every template to the template; a
+template that a text meets is looked for by its words. Their places lie on diagonals (text word minus template word); a
+band of diagonals that begins at one and holds enough of the template's words is a candidate, and a banded local alignment
+inside it counts equal words in order, allowing words to be changed, added or dropped within the band. A candidate is
+reported if its matched words cover enough of the template; of reports that overlap, the one with more matched words stays.
+
+Grams and winnows are as long as keeps every text that would be reported: with ``d`` template words changed or dropped and
+the words added in the band, the matched words fall into at most ``2 * d + 2 * BAND + 1`` runs, and the longest run holds a
+whole winnow. For few words that is a single word.
 
 Texts are scanned whole, in one Arrow pass without a shuffle; the index is a fixed parameter of checked size.
 
@@ -14,6 +18,7 @@ empty table gives an empty table; only the id is carried.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -24,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import gram_hashes, winnow, word_hashes
 
-GRAM, WIDTH, BAND, COVERAGE = 3, 2, 4, 0.8
+GRAM, WIDTH, BAND, COVERAGE = 3, 2, 4, 0.8  # the first two at the most
 TEMPLATE_BYTES = 4 << 20  # of all templates, since their index goes to every task
 
 # Short public license notices.
@@ -65,46 +70,54 @@ def words_of(text: str) -> tuple[list[bytes], list[tuple[int, int]]]:
 
 
 class Index:
+    """``fingerprints``: the templates of each hash, for each length of gram; ``tokens``: the templates' words one after the other, by ``vocabulary``."""
+
     def __init__(self, templates: dict[str, str]):
         if sum(len(t.encode()) for t in templates.values()) > TEMPLATE_BYTES:
             raise ValueError(f"templates of more than {TEMPLATE_BYTES} bytes")
         self.names = list(templates)
         self.words = [words_of(t)[0] for t in templates.values()]
-        self.places: dict[int, list[tuple[int, int]]] = {}
+        self.least = [math.ceil(COVERAGE * len(w) - 1e-9) for w in self.words]
+        self.fingerprints: dict[int, dict[int, set[int]]] = {}
         for of, words in enumerate(self.words):
-            hashes = gram_hashes(word_hashes(words), GRAM)
-            for p in winnow(hashes, WIDTH).tolist():
-                self.places.setdefault(int(hashes[p]), []).append((of, p))
-        self.keys = np.array(sorted(self.places), np.uint64)
+            if words:
+                gram, width = lengths(len(words), self.least[of])
+                hashes = gram_hashes(word_hashes(words), gram)
+                for p in winnow(hashes, width).tolist():
+                    self.fingerprints.setdefault(gram, {}).setdefault(int(hashes[p]), set()).add(of)
+        self.keys = {gram: np.array(sorted(found), np.uint64) for gram, found in self.fingerprints.items()}
+        tokens = [word_hashes(w) for w in self.words]
+        self.vocabulary = np.unique(np.concatenate([*tokens, np.zeros(0, np.uint64)]))
+        self.tokens = [np.searchsorted(self.vocabulary, t) for t in tokens]
 
     def scan(self, text: str) -> list[tuple[str, float, int, int, int, int]]:
         """(template, coverage, matched words, template words, start, end) of every report, in order."""
-        if not len(self.keys) or len(text) < 8:
+        if not len(self.vocabulary):
             return []
         words, spans = words_of(text)
-        hashes = gram_hashes(word_hashes(words), GRAM)
-        if not len(hashes):
+        hashes = word_hashes(words)
+        at, token = meetings(self.vocabulary, hashes)
+        if not len(at):
             return []
-        near = np.searchsorted(self.keys, hashes)
-        near[near == len(self.keys)] = 0
-        same = np.flatnonzero(self.keys[near] == hashes)
-        if not len(same):
+        present = np.zeros(len(self.vocabulary), bool)
+        present[token] = True
+        some = {of for of, t in enumerate(self.tokens) if len(t) and np.count_nonzero(present[t]) >= self.least[of]}
+        if not some:
             return []
-        diagonals: dict[int, set[int]] = {}
-        for p in same.tolist():
-            for of, q in self.places[int(hashes[p])]:
-                diagonals.setdefault(of, set()).add(p - q)
-        found = []
-        for of, shifts in diagonals.items():
-            last = None
-            for shift in sorted(shifts):
-                if last is not None and shift - last <= BAND:
-                    continue  # inside the band of the candidate before
-                last = shift
+        met: set[int] = set()
+        for gram, keys in self.keys.items():
+            for k in np.unique(meetings(keys, gram_hashes(hashes, gram))[1]).tolist():
+                met |= self.fingerprints[gram][int(keys[k])]
+        order = np.argsort(token, kind="stable")
+        at, token = at[order], token[order]
+        found = set()
+        for of in sorted(some & met):
+            size = len(self.words[of])
+            for shift in self.bands(of, at, token):
                 matched, first, end = aligned(words, self.words[of], shift, BAND)
-                size = len(self.words[of])
-                if matched >= COVERAGE * size:
-                    found.append((matched, matched / size, of, first, end))
+                if matched >= self.least[of]:
+                    found.add((matched, matched / size, of, first, end))
+        found = list(found)
         found.sort(key=lambda x: (-x[0], -x[1], x[3], x[2]))
         taken: list[tuple[int, float, int, int, int]] = []
         for x in found:
@@ -112,6 +125,33 @@ class Index:
                 taken.append(x)
         return [(self.names[of], share, matched, len(self.words[of]), spans[first][0], spans[end - 1][1]) for matched, share, of, first, end in sorted(taken, key=lambda x: x[3])]
 
+    def bands(self, of: int, at: np.ndarray, token: np.ndarray) -> list[int]:
+        """Middles of the bands that begin at a meeting and hold enough of the template's words; ``at`` in order of ``token``."""
+        begin, end = np.searchsorted(token, self.tokens[of], "left"), np.searchsorted(token, self.tokens[of], "right")
+        word = np.repeat(np.arange(len(begin)), end - begin)
+        shift = np.concatenate([at[a:b] - q for q, (a, b) in enumerate(zip(begin.tolist(), end.tolist(), strict=True))])
+        order = np.argsort(shift, kind="stable")
+        shift, word = shift[order], word[order]
+        first = np.unique(shift)
+        a, b = np.searchsorted(shift, first, "left"), np.searchsorted(shift, first + 2 * BAND, "right")
+        full = np.flatnonzero(b - a >= self.least[of])
+        return [int(first[i]) + BAND for i in full.tolist() if len(np.unique(word[a[i] : b[i]])) >= self.least[of]]
+
+
+def lengths(size: int, least: int) -> tuple[int, int]:
+    """(gram, winnow width) with which every ``least`` of ``size`` words, in order and in the band, hold a fingerprint."""
+    run = -(-least // (2 * (size - least) + 2 * BAND + 1))
+    gram = max(1, min(GRAM, run - WIDTH + 1))
+    return gram, run - gram + 1
+
+
+def meetings(keys: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the hashes that are among the sorted keys, and of their keys."""
+    near = np.searchsorted(keys, hashes)
+    near[near == len(keys)] = 0
+    at = np.flatnonzero(keys[near] == hashes)
+    return at, near[at]
+
 
 def aligned(words: list[bytes], template: list[bytes], shift: int, band: int) -> tuple[int, int, int]:
     """Most equal words in order with the text word within ``band`` of ``template word + shift``: (count, first, end)."""

@@ -56,3 +56,30 @@ def test_given_documents(spark, sf):
     lines = tuple(t for n, t in ls.TEMPLATES.items() if n.endswith("notice"))
     planted = {r["doc_id"] for r in docs.collect() if any(x in (r["text"] or "") for x in lines)}
     assert {r["doc_id"] for r in ls.scan(docs).collect()} == planted
+
+
+def test_one_change_anywhere_is_found():
+    index = ls.Index(ls.TEMPLATES)
+    for of, name in enumerate(index.names):
+        words = [w.decode() for w in index.words[of]]
+        for i in range(len(words)):
+            for put in (["zzz"], [], ["zzz", "yyy"]):
+                text = " ".join(["intro", *words[:i], *put, *words[i + 1 :], "end"])
+                assert any(n == name and k == len(words) - 1 for n, _, k, *_ in index.scan(text)), text
+    assert [r[0] for r in index.scan("Released under an MIT License.")] == ["MIT notice"]
+
+
+def test_every_covered_text_is_found():
+    rng = random.Random(4)
+    for size in (1, 2, 3, 5, 9, 14, 30, 70):
+        words = [rng.choice("abcdefghijklmnop") * 2 + str(rng.randrange(size)) for _ in range(size)]
+        index = ls.Index({"t": " ".join(words)})
+        for _ in range(60):
+            changed = list(words)
+            for i in rng.sample(range(size), size - index.least[0]):
+                changed[i] = "zzz"
+            for i in sorted(rng.sample(range(1, size), min(size - 1, 2 * ls.BAND)), reverse=True):
+                changed.insert(i, "yyy")
+            text = " ".join(["x"] * rng.randrange(9) + changed)
+            assert [r[0] for r in index.scan(text)] == ["t"], (size, text)
+    assert ls.Index({"e": "", "one": "MIT"}).scan("MIT")[0][:3] == ("one", 1.0, 1)
