@@ -444,7 +444,16 @@ def sc_json_props(spark, sf):
 
 @query("SELECT conv_id, turn, list_filter(string_split(text, ' '), lambda w: NOT regexp_matches(w, '\\s'))[1:5] AS words FROM conversations WHERE len(string_split(text, ' ')) <= 10")
 def sc_expansion(spark, sf):
-    at = table(spark, sf, "conversations").where(F.size(F.split("text", " ")) <= 10)
+    return _expansion(table(spark, sf, "conversations").where(F.size(F.split("text", " ")) <= 10))
+
+
+@query(r"SELECT conv_id, turn, list_filter(string_split(text, ' ')[1:10], lambda w: NOT regexp_matches(w, '\s'))[1:5] AS words FROM conversations")
+def sc_expansion_all(spark, sf):
+    """Every row, so that the cut at the first ten items shows."""
+    return _expansion(table(spark, sf, "conversations"))
+
+
+def _expansion(at: DataFrame) -> DataFrame:
     body = F.to_json(F.transform(F.split("text", " "), lambda w: F.struct(w.alias("word"), F.lit(1.0).alias("score"))))
     return at.select("conv_id", "turn", dictionary.expansion_words(body, 5).alias("words"))
 

@@ -91,6 +91,15 @@ def test_expansion(spark):
     assert list(df.select(D.merge_candidates(F.array(F.array(F.lit("Tree"), F.lit("b")), F.array(F.lit("tree"), F.lit("c"))))).first()[0]) == ["Tree", "b", "c"]
 
 
+def test_expansion_over_every_row(spark, tmp_path):
+    from lexweave.plans.queries import QUERIES
+
+    texts = ["a b", None, " ".join(["x\ny"] * 9 + ["in", "out"]), " ".join(map(str, range(30)))]
+    spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["turn"]: r["words"] for r in QUERIES["sc_expansion_all"](spark, str(tmp_path)).collect()}
+    assert got == {0: ["a", "b"], 1: None, 2: ["in"], 3: list("01234")}
+
+
 def test_csv(spark, tmp_path):
     path = tmp_path / "w.csv"
     path.write_text('word,language,class,system,tags,w,src\n a ,la,noun, ,"x,""y""",nope,s\nb,,odd,,,2.5,\n')
