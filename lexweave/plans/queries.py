@@ -290,6 +290,12 @@ def rt_suggest(spark, sf):
     return rank.suggest(lexicon(spark, sf).where(F.col("word").rlike("^[a-z]*$")), "theon ereti", 12)
 
 
+@query()
+def rt_suggest_all(spark, sf):
+    """The whole lexicon; DuckDB's levenshtein counts bytes, so there is no SQL."""
+    return rank.suggest(lexicon(spark, sf), "theon ereti", 12)
+
+
 def _rank_sql(limit: int | None = None) -> str:
     """Tokens without bridge and edges: they have four bytes, so no two of them can claim the same gloss token."""
     tail = f"ORDER BY score DESC, seed_weight DESC, word, id LIMIT {limit}" if limit else ""

@@ -114,6 +114,24 @@ def test_suggest(spark, seed):
     assert row["n_echoes"] == 1 and row["n_candidates"] == 1
 
 
+def test_suggest_over_the_whole_lexicon(spark, tmp_path):
+    from lexweave.plans.queries import QUERIES
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            new = [i + 1]
+            for j, y in enumerate(b):
+                new.append(min(row[j + 1] + 1, new[j] + 1, row[j] + (x != y)))
+            row = new
+        return row[-1]
+
+    words = ["théon", "thèön", "erêti", "éréti", "theäter", "theorie", "ereti", "über", "été", "thëöñ", "plain"]
+    spark.createDataFrame([(i, w, "fr", "s") for i, w in enumerate(words)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = sorted(w for w in words if any(w.startswith(t[:3]) or distance(w, t) <= 2 for t in ("theon", "ereti")))
+    assert [r["word"] for r in QUERIES["rt_suggest_all"](spark, str(tmp_path)).collect()] == want and "théon" in want
+
+
 def test_tokens(spark):
     assert query_tokens(spark, "Eine CLI für die Synchronisation von Logs") == ["cli", "synchronisation", "logs"]
 
