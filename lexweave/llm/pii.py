@@ -62,8 +62,8 @@ PATTERNS = {
     "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_ADDRESSES})\.? \p{{Lu}}\p{{L}}+(?:[ -]\p{{Lu}}\p{{L}}+)?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: Every entity has a digit, an at sign, a secret's assignment or a form of address; texts without any are not searched further.
-MAYBE = rf"[0-9@]|[:=]\s{{0,3}}[\"']?[^\s\"']{{8}}|(?:{_ADDRESSES})"
+#: Every entity has a digit, an at sign, a secret's assignment or prefix, a run of hexadecimal letters or a form of address; texts without any are not searched further.
+MAYBE = rf"[0-9@]|[:=]\s{{0,3}}[\"']?[^\s\"']{{8}}|AKIA|gh[a-z]_|[a-f]{{32}}|(?:{_ADDRESSES})"
 
 
 def _number(key: Column, *parts: Column | str) -> Column:
