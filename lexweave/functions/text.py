@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,6 +54,11 @@ NOT_ALNUM = r"[^\p{IsAlphabetic}\p{N}]+"
 GLOSS_BYTES, ETYMOLOGY_BYTES = 80, 160
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once a row, however often the body reads it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def tokenize(text: Column) -> Column:
     """Lower-cased alphanumeric runs without stop words, each once, in order."""
     runs = F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_ALNUM)
@@ -122,9 +129,13 @@ def split_list(text: Column) -> Column:
 
 def truncate_bytes(text: Column, most: int) -> Column:
     """The longest prefix of whole characters within ``most`` bytes."""
-    raw = text.cast("binary")
-    cuts = [F.try_validate_utf8(F.substring(raw, 1, n).cast("string")) for n in range(most, max(most - 4, 0), -1)]
-    return F.when(F.octet_length(text) <= most, text).otherwise(F.coalesce(*cuts, F.lit("")))
+
+    def cut(t: Column) -> Column:
+        raw = F.substring(t.cast("binary"), 1, most)
+        cuts = [F.try_validate_utf8(F.substring(raw, 1, n).cast("string")) for n in range(most, max(most - 4, 0), -1)]
+        return F.when(F.octet_length(t) <= most, t).otherwise(F.coalesce(*cuts, F.lit("")))
+
+    return bound(text, cut)
 
 
 def truncate_chars(text: Column, most: int) -> Column:
@@ -137,13 +148,12 @@ def fold_gloss(text: Column) -> Column:
 
 
 def gloss_is_junk(folded: Column) -> Column:
-    return F.exists(F.array(*map(F.lit, JUNK_GLOSSES)), lambda m: F.contains(folded, m))
+    return bound(folded, lambda f: F.exists(F.array(*map(F.lit, JUNK_GLOSSES)), lambda m: F.contains(f, m)))
 
 
 def clean_gloss(text: Column) -> Column:
     """A usable gloss, or null if it only points to another entry."""
-    folded = fold_gloss(text)
-    return F.when(~gloss_is_junk(folded), truncate_bytes(folded, GLOSS_BYTES))
+    return bound(fold_gloss(text), lambda f: F.when(~gloss_is_junk(f), truncate_bytes(f, GLOSS_BYTES)))
 
 
 def clean_etymology(text: Column) -> Column:

@@ -59,8 +59,9 @@ def sense_registers(sense: Column) -> Column:
 def _links(v: Column, src: Column) -> Column:
     parts = []
     for name, (rel, weight) in LINKS.items():
-        words = F.transform(F.slice(_items(v, f"$.{name}"), 1, LINKS_PER_FIELD), lambda x: _trim(_text(x, "$.word")))
-        usable = F.filter(words, lambda w: w.isNotNull() & (w != "") & ~w.rlike(_BLANK) & (F.char_length(w) <= 30) & (F.lower(w) != src))
+        # by path, so that an entry's longest lists are never read whole
+        words = F.array(*[_text(v, f"$.{name}[{i}].word") for i in range(LINKS_PER_FIELD)])
+        usable = F.filter(F.transform(words, _trim), lambda w: w.isNotNull() & (w != "") & ~w.rlike(_BLANK) & (F.char_length(w) <= 30) & (F.lower(w) != src))
         parts.append(_as_edges(usable, rel, weight))
     return F.concat(*parts)
 
