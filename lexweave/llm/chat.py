@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialise
+from .common import Scratch, let, materialise
 
 _CALL = "struct<id:string,name:string,arguments:variant,depends_on:array<string>>"
 _TOOL = "struct<name:string,parameters:string>"
@@ -281,30 +281,33 @@ def linked(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", rol
 
 
 def _ranks(nodes: DataFrame, needs: DataFrame) -> DataFrame:
-    """(conv, id, rank, level, cyclic) of every call that needs another or whose place depends on one.
+    """(conv, id, rank, level, cyclic) of every call that needs another.
 
-    Each round raises a call to the largest (rank, level) of what it needs. Without cycles it ends after the longest chain;
-    calls that still rise after as many rounds as there are dependent calls stand in or behind a cycle.
+    Peels the graph: each round places the calls whose needs all have a place, and only calls that still wait go on, so
+    the rounds follow the longest chain whatever cycles there are. When none can be placed, those that are left stand in or behind a
+    cycle; they keep their own turn and level 0.
     """
+    scratch = Scratch(nodes.sparkSession, "chat")
     linked = needs.join(nodes.select("conv", F.col("id").alias("need"), F.col("call_turn").alias("need_turn")), ["conv", "need"])
-    linked = linked.join(nodes.select("conv", "id", "call_turn"), ["conv", "id"]).where("need_turn <> call_turn or need = id")
-    linked = materialise(linked.select("conv", "id", "need"), "chat-needs")  # calls of one message stand together
-    at = nodes.select("conv", "id", F.col("call_turn").alias("rank"), F.lit(0).alias("level"), F.greatest("call_turn", F.coalesce("result_turn", "call_turn")).alias("done"), F.lit(False).alias("cyclic"))
-    most = linked.select("conv", "id").distinct().count()
-    for i in range(most + 1):
-        below = at.select("conv", F.col("id").alias("need"), F.greatest("rank", "done").alias("r"), (F.col("level") + 2).alias("l"))
-        raised = linked.join(below, ["conv", "need"]).groupBy("conv", "id").agg(F.max("r").alias("r"), F.max("l").alias("l"))
-        raised = raised.join(at.select("conv", "id", "rank", "level"), ["conv", "id"]).where("r > rank or l > level")
-        raised = materialise(raised.select("conv", "id", F.greatest("r", "rank").alias("r"), F.greatest("l", "level").alias("l")), "chat-raised")
-        if raised.isEmpty():
+    linked = linked.join(nodes.select("conv", "id", "call_turn"), ["conv", "id"]).where("need_turn <> call_turn or need = id")  # calls of one message stand together
+    waiting = scratch.table(linked.select("conv", "id", "need", F.lit(None).cast("long").alias("r"), F.lit(None).cast("int").alias("l")), "needs")
+    own = nodes.select("conv", "id", F.col("call_turn").alias("turn"), F.greatest("call_turn", F.coalesce("result_turn", "call_turn")).alias("done"))
+    dependent = waiting.select("conv", "id").distinct()
+    ready = own.join(dependent, ["conv", "id"], "left_anti").select("conv", "id", F.col("turn").alias("rank"), F.lit(0).alias("level"), "done")
+    i = 0
+    while True:
+        below = ready.select("conv", F.col("id").alias("need"), F.greatest("rank", "done").cast("long").alias("new_r"), (F.col("level") + 2).alias("new_l"))
+        waiting = waiting.join(below, ["conv", "need"], "left").select("conv", "id", "need", F.coalesce("r", "new_r").alias("r"), F.coalesce("l", "new_l").alias("l"))
+        waiting = scratch.table(waiting, f"waiting-{i}")
+        if i:
+            scratch.drop(f"waiting-{i - 1}")
+        placed = waiting.groupBy("conv", "id").agg(F.max("r").alias("r"), F.max("l").alias("l"), (F.count("r") == F.count("*")).alias("all")).where("all")
+        placed = placed.join(own, ["conv", "id"]).select("conv", "id", F.greatest("r", "turn").alias("rank"), F.col("l").alias("level"), "done")
+        ready = scratch.table(placed, f"placed/round={i}")
+        if ready.isEmpty():
             break
-        last = i == most
-        at = at.join(raised, ["conv", "id"], "left").select(
-            "conv", "id",
-            F.when(F.lit(last) & F.col("r").isNotNull(), F.col("rank")).otherwise(F.coalesce("r", "rank")).alias("rank"),
-            F.when(F.lit(last) & F.col("r").isNotNull(), F.lit(0)).otherwise(F.coalesce("l", "level")).cast("int").alias("level"),
-            "done",
-            F.when(F.lit(last), F.col("r").isNotNull()).otherwise(F.col("cyclic")).alias("cyclic"),
-        )
-        at = materialise(at, "chat-ranks")
-    return at.select("conv", "id", "rank", "level", "cyclic")
+        waiting = waiting.join(ready.select("conv", "id"), ["conv", "id"], "left_anti")
+        i += 1
+    at = scratch.read("placed", ready.schema).select("conv", "id", "rank", "level", F.lit(False).alias("cyclic"))
+    left = waiting.select("conv", "id").distinct().join(own, ["conv", "id"])
+    return at.unionByName(left.select("conv", "id", F.col("turn").alias("rank"), F.lit(0).alias("level"), F.lit(True).alias("cyclic")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -9,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: ASCII white space that separates words in the contracts: space, \t \n \v \f \r.
 WORD_SPACE = " \t\n\x0b\x0c\r"
@@ -28,24 +31,71 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Set here only where the session names none (tests)."""
+    """The folder that all executors share. One is made here only for a local session that names none (tests)."""
     found = spark.sparkContext.getCheckpointDir()
     if not found:
         found = spark.conf.get("spark.checkpoint.dir", None)
         if not found:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             found = tempfile.mkdtemp(prefix="lexweave-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
     return found
 
 
+@contextlib.contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs inside go as soon as it has ended, since its result is a table."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+class Scratch:
+    """Tables of one run in the shared folder; one that nothing reads any more may go before the run ends."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.root = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def table(self, df: DataFrame, name: str, *folders: str) -> DataFrame:
+        """Write ``df`` once, in folders by some columns if they are given, and read it back: cuts lineage and survives lost executors."""
+        schema = df.schema
+        with _shuffles_dropped(self.spark):
+            df.write.option("compression", "zstd").partitionBy(*folders).parquet(f"{self.root}/{name}")
+        return self.read(name, schema)
+
+    @contextlib.contextmanager
+    def dealt(self, df: DataFrame, name: str, *keys: str) -> Iterator[DataFrame]:
+        """``df``, which is dealt by its keys already, written in buckets of them, so that joins by them don't move it again; gone at the end of the block."""
+        n, listed = shuffle_partitions(self.spark), f"{name}_{uuid.uuid4().hex}"
+        try:
+            with _shuffles_dropped(self.spark):
+                rows = df.write.option("compression", "zstd").option("path", f"{self.root}/{name}")
+                rows.bucketBy(n, *keys).sortBy(*keys).saveAsTable(listed)
+            yield self.spark.table(listed)
+        finally:
+            self.spark.sql(f"DROP TABLE IF EXISTS {listed}")
+            self.drop(name)
+
+    def read(self, name: str, schema: StructType) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+
+    def drop(self, *names: str) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path.getFileSystem(conf).delete(path, True)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once into the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    """Write ``df`` once into the shared folder and read it back."""
+    return Scratch(df.sparkSession, name).table(df, "table")
 
 
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:

@@ -125,3 +125,67 @@ def test_schema_keywords(spark):
 def test_plan_is_native(spark, sf):
     plan = chat.linked(spark.read.parquet(f"{sf}/conversations.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_many_dependent_calls_with_cycles(spark, monkeypatch):
+    """Ranks against a brute-force order; the rounds follow the longest chain, not the number of calls."""
+    import random
+
+    rng = random.Random(5)
+    messages, results, graph = [], {}, {}
+    for c in range(40):
+        size = 25
+        for k in range(size):
+            needs = [f"c{n}" for n in {rng.randrange(max(0, k - 6), k) for _ in range(rng.randrange(3))}] if k else []
+            if c % 4 == 0 and k in (3, 4):
+                needs = ["c4" if k == 3 else "c3"]
+            if c % 7 == 0 and k == 9:
+                needs = ["c9", "nobody"]
+            turn = rng.randrange(200) * 2
+            while (c, turn) in results:
+                turn += 2
+            results[c, turn] = True
+            messages.append((c, turn, "assistant", {"tool_calls": [call("n", {}, f"c{k}", needs)]}))
+            answer = None
+            if rng.random() < 0.7:
+                answer = turn + rng.choice([1, 41, -39])
+                messages.append((c, answer, "tool", {"tool_call_id": f"c{k}", "content": "x"}))
+            graph[c, f"c{k}"] = (turn, answer, needs)
+
+    def place(c, i, seen=()):
+        """(rank, level), or None in or behind a cycle."""
+        turn, _, needs = graph[c, i]
+        if i in seen:
+            return None
+        rank, level = turn, 0
+        for n in needs:
+            if (c, n) not in graph:
+                continue
+            below = place(c, n, (*seen, i))
+            if below is None:
+                return None
+            answer = graph[c, n][1]
+            rank, level = max(rank, below[0], graph[c, n][0], answer if answer is not None else -1), max(level, below[1] + 2)
+        return rank, level
+
+    rounds = []
+    table = chat.Scratch.table
+    monkeypatch.setattr(chat.Scratch, "table", lambda self, df, name: (rounds.append(name), table(self, df, name))[1])
+    got = [r for r in rows_of(spark, messages) if r["role"] == "assistant"]
+    places = {k: place(*k) for k in graph}
+    assert len(got) == len(graph) == 1000 and sum(p is None for p in places.values()) > 30
+    for r in got:
+        line = json.loads(r["json"])["tool_calls"][0]
+        want = places[r["conv_id"], line["id"]]
+        turn = graph[r["conv_id"], line["id"]][0]
+        assert (r["rank"], r["level"]) == (want or (turn, 0)) and (line["status"] == "cyclic") == (want is None)
+    longest = max(p[1] for p in places.values() if p) // 2
+    assert sum(n.startswith("placed") for n in rounds) <= longest + 2
+
+
+def test_long_text_and_ties(spark):
+    long = "word " * 400_000
+    rows = [(1, 0, "user", long), (1, 0, "user", long), (1, 0, "user", {"content": long}), (1, 0, "tool", {"tool_call_id": "a", "content": "1"}), (1, 0, "tool", {"tool_call_id": "a", "content": "2"})]
+    got = rows_of(spark, rows)
+    assert len(got) == 5 and [json.loads(r["json"])["content"] == long for r in got].count(True) == 3
+    assert {r["status"] for r in got} == {"plain", "orphan"}
