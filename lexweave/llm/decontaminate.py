@@ -7,9 +7,10 @@ joined with the benchmark's, and each meeting place is extended word by word in
 meeting counts if the common span holds a whole benchmark window. Items shorter than ``window`` words are
 windows of their own; their length m is its own class with k = m.
 
-The benchmark's index is broadcast in blocks of a checked size: its bytes are counted first, items are dealt to
-as many blocks as the bound asks for, and the blocks are probed one after the other over the same rows.
-Documents are never shuffled, so no passage, source or document can gather in one task.
+The benchmark's index is broadcast in blocks of a checked size: its bytes are counted first and items are dealt to
+as many blocks as the bound asks for. A single block is probed in one pass without a shuffle. Of several, each is probed by a job of
+its own, which writes the hits of each different text and then gives its index up, so never more than one is held; the
+hits of all blocks meet by a digest of the text. Passages, sources and copies never gather in one task.
 
 Defined results: a null or wordless text has no words and no hit; a null benchmark text or one without words
 is no item; an item with a null id marks words but is not listed; items that share an id count once;
@@ -23,10 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes
+from .common import Scratch, as_bytes
 
 WINDOW, GRAM = 10, 5
 BLOCK_BYTES = 8 << 20  # text of one broadcast block of the benchmark
@@ -143,14 +144,15 @@ class Index:
         return sorted(spans), items
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str | None, bytes]]]:
-    """The benchmark in blocks of about ``block_bytes`` of text, one at a time on the driver."""
+def _blocks(scratch: Scratch, benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[int, list[tuple[str | None, bytes]]]]:
+    """(number of blocks, items) of each block of about ``block_bytes`` of text, one at a time on the driver."""
     some = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null")
     total = some.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
     n = max(1, -(-total // block_bytes))
-    dealt = some.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(n)))
+    if n > 1:
+        some = scratch.table(some.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(n)).cast("int")), "benchmark", "b")
     for b in range(n):
-        yield [(r["i"], r["t"].encode()) for r in (dealt.where(F.col("b") == b) if n > 1 else dealt).collect()]
+        yield n, [(r["i"], r["t"].encode()) for r in (some.where(F.col("b") == b) if n > 1 else some).collect()]
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -163,6 +165,47 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+_NAMES = ("items", "hit_starts", "hit_ends")
+_HITS = "items array<string>, hit_starts array<int>, hit_ends array<int>"
+
+
+def _union(spans: Column) -> Column:
+    """Sorted spans (a, b) as maximal runs."""
+    kind = "array<struct<a:int,b:int>>"
+
+    def step(out: Column, s: Column) -> Column:
+        last = F.try_element_at(out, F.lit(-1))
+        grown = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], s["b"]).alias("b"))))
+        return F.when(F.coalesce(s["a"] <= last["b"], F.lit(False)), grown).otherwise(F.concat(out, F.array(F.struct(s["a"].alias("a"), s["b"].alias("b"))))).cast(kind)
+
+    return F.aggregate(spans, F.array().cast(kind), step)
+
+
+def _probe(held, window: int, gram: int, carried: list[str], only_hits: bool = False):
+    """Worker: rows (*carried, text); out: their word counts, and the items and spans hit in the block that is held (None: no block)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(held.value if held else [], window, gram)
+        for batch in batches:
+            rows, n_words, items, starts, ends = [], [], [], [], []
+            for i, text in enumerate(as_bytes(batch.column(len(carried)))):
+                words = words_of(text)
+                spans, ids = index.hits(words)
+                if only_hits and not spans:
+                    continue
+                merged = _merge(spans)
+                rows.append(i)
+                n_words.append(len(words))
+                items.append(sorted(x for x in ids if x is not None))
+                starts.append([a for a, _ in merged])
+                ends.append([b for _, b in merged])
+            own = batch.take(pa.array(rows, pa.int64())) if only_hits else batch
+            made = [pa.array(n_words, pa.int64()), pa.array(items, pa.list_(pa.string())), *[pa.array(x, pa.list_(pa.int32())) for x in (starts, ends)]]
+            yield pa.RecordBatch.from_arrays([*own.columns[: len(carried)], *made], [*carried, "n_words", *_NAMES])
+
+    return run
+
+
 def contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -177,32 +220,26 @@ def contamination(
 ) -> DataFrame:
     """(id, *keep, n_words, n_hit, n_items, items, hit_starts, hit_ends) for every row of ``docs``."""
     spark = docs.sparkSession
-    kinds = {c: docs.schema[c].dataType.simpleString() for c in (id_col, *keep)}
+    scratch = Scratch(spark, "decontamination")
     carried = list(dict.fromkeys([id_col, *keep]))
-    at = docs.select(*carried, F.col(text_col).cast("string").alias("__text"))
-    found = "n_words long, items array<string>, hit_starts array<int>, hit_ends array<int>"
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in carried)
-    at = at.withColumns({"n_words": F.lit(0).cast("long"), "items": F.array().cast("array<string>"), "hit_starts": F.array().cast("array<int>"), "hit_ends": F.array().cast("array<int>")})
-    for block in _blocks(benchmark, item_id_col, item_text_col, block_bytes):
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
+    text = F.col(text_col).cast("string")
+    hits = None
+    for k, (n, block) in enumerate(_blocks(scratch, benchmark, item_id_col, item_text_col, block_bytes)):
         held = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = Index(held.value, window, gram)
-            for batch in batches:
-                n_words, items, starts, ends = [], [], [], []
-                before = zip(*(batch.column(c).to_pylist() for c in ("items", "hit_starts", "hit_ends")), strict=True)
-                for text, (i0, s0, e0) in zip(as_bytes(batch.column("__text")), before, strict=True):
-                    words = words_of(text)
-                    spans, ids = index.hits(words)
-                    merged = _merge(spans + list(zip(s0, e0, strict=True))) if spans else list(zip(s0, e0, strict=True))
-                    n_words.append(len(words))
-                    items.append(sorted({*i0, *(x for x in ids if x is not None)}))
-                    starts.append([a for a, _ in merged])
-                    ends.append([b for _, b in merged])
-                new = {"n_words": pa.array(n_words, pa.int64()), "items": pa.array(items, pa.list_(pa.string())), "hit_starts": pa.array(starts, pa.list_(pa.int32())), "hit_ends": pa.array(ends, pa.list_(pa.int32()))}
-                yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in (*carried, "__text", *new)], [*carried, "__text", *new])
-
-        at = at.mapInArrow(run, f"{schema}, __text string, {found}")
+        if n == 1:
+            at = docs.select(*carried, text.alias("__text")).mapInArrow(_probe(held, window, gram, carried), f"{schema}, n_words long, {_HITS}")
+            break
+        found = docs.select(F.sha2(text, 256).alias("__key"), text.alias("__text")).mapInArrow(_probe(held, window, gram, ["__key"], only_hits=True), f"__key string, n_words long, {_HITS}")
+        found = scratch.table(found.groupBy("__key").agg(*[F.any_value(c).alias(c) for c in _NAMES]), f"hits-{k}")
+        held.destroy()
+        hits = found if hits is None else hits.unionByName(found)
+    else:
+        counted = docs.select(*carried, F.sha2(text, 256).alias("__key"), text.alias("__text")).mapInArrow(_probe(None, window, gram, [*carried, "__key"]), f"{schema}, __key string, n_words long, {_HITS}")
+        spans = F.sort_array(F.flatten(F.collect_list(F.arrays_zip(F.col("hit_starts").alias("a"), F.col("hit_ends").alias("b")))))
+        merged = hits.groupBy("__key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), _union(spans).alias("spans"))
+        merged = scratch.table(merged.select("__key", "items", F.col("spans.a").alias("hit_starts"), F.col("spans.b").alias("hit_ends")), "hits")
+        none = {"items": "array<string>", "hit_starts": "array<int>", "hit_ends": "array<int>"}
+        at = counted.drop(*_NAMES).join(merged, "__key", "left").select(*carried, "n_words", *[F.coalesce(c, F.array().cast(kind)).alias(c) for c, kind in none.items()])
     n_hit = F.aggregate(F.zip_with("hit_starts", "hit_ends", lambda a, b: (b - a).cast("long")), F.lit(0).cast("long"), lambda t, x: t + x)
-    return at.drop("__text").withColumn("n_hit", n_hit).withColumn("n_items", F.size("items").cast("long"))
-
+    return at.withColumn("n_hit", n_hit).withColumn("n_items", F.size("items").cast("long"))
