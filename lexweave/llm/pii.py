@@ -6,11 +6,18 @@ One pattern finds entities from left to right; the text between them is kept as
   different numbers of one format stay different by construction; layout, country code and a card's check digit hold;
 * mail addresses: keyed letters and digits for the mailbox and, separately, for the domain, so that addresses of one domain
   stay together; case does not matter;
-* secrets: a keyed string of the same length and alphabet;
-* names after a form of address: a given name of the same gender and script and a surname built from syllables.
+* secrets: a keyed Feistel permutation in which every letter and digit stays in its own class (digit, capital, small letter, hexadecimal
+  digit of a hexadecimal string), so different secrets of one shape stay different by construction; the name of an assignment, the
+  prefix of a typical key and all other characters hold. A secret without any letter or digit becomes a keyed string of its length;
+* names after a form of address: a given name of the same gender (or of either, after a title) and script and a surname built from
+  syllables, whose first half follows the surname alone. Later in the text, and before, the bare full name and the bare surname
+  of such a person are replaced by the same surrogate (of several persons with one surname by the first one's); they are not counted as entities.
 
 The same entity gets the same surrogate everywhere (coreference). Distinctness is checked over the whole corpus: if two
-entities share a surrogate, the key moves to its next round for all, until no two do.
+entities share a surrogate, the key moves to its next round for all, until no two do. Only mail addresses, names and
+IPv4 addresses beyond 255 can collide at all, each with about 2 ** -60 a pair.
+
+The key is a secret of the user: a parameter or ``spark.lexweave.pii.key``. Without either a random one is drawn for the session.
 
 Defined results: a null text stays null and has no entity; an empty text stays empty; repeated rows and null keys pass
 through; whole texts of any length, in one pass each; an empty table gives an empty table; all columns stay, ``text`` is
@@ -19,7 +26,9 @@ replaced and ``n_entities`` set.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import let, materialise
@@ -35,6 +44,7 @@ ADDRESS = {
     ("cyrillic", "m"): "Господин г-н",
     ("greek", "f"): "Κυρία κα",
     ("greek", "m"): "Κύριος κ",
+    ("latin", "any"): "Dr Prof Doctor Professor Doktor",
 }
 GIVEN = {
     ("latin", "f"): "Ada Berta Clara Dora Elena Frida Greta Hanna",
@@ -43,7 +53,22 @@ GIVEN = {
     ("cyrillic", "m"): "Антон Борис Виктор Глеб Денис Егор Захар Игорь",
     ("greek", "f"): "Άννα Δάφνη Ελένη Ζωή Ηρώ Θάλεια Ιόλη Μαρία",
     ("greek", "m"): "Άγγελος Βασίλης Γιώργος Δήμος Ηλίας Θάνος Ίων Μάνος",
+    ("latin", "any"): "Alex Chris Kim Lou Noa Robin Sascha Toni",
 }
+# The classes of characters of a secret, each permuted within itself.
+CLASSES = (
+    "0123456789",
+    "abcdefghijklmnopqrstuvwxyz",
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿœßšž",
+    "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞŒŠŽ",
+    "абвгдежзийклмнопрстуфхцчшщъыьэюяё",
+    "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯЁ",
+    "αβγδεζηθικλμνξοπρστυφχψωςάέήίόύώ",
+    "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩΆΈΉΊΌΎΏ",
+)
+HEXADECIMAL = "0123456789abcdef"
+KEY = "spark.lexweave.pii.key"
 SYLLABLES = {
     "latin": [c + v for c in "bdklmnrt" for v in "aeio"],
     "cyrillic": [c + v for c in "бдклмнрт" for v in "аеио"],
@@ -66,6 +91,9 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 MAYBE = rf"[0-9@]|[:=]\s{{0,3}}[\"']?[^\s\"']{{8}}|AKIA|gh[a-z]_|[a-f]{{32}}|(?:{_ADDRESSES})"
 
 
+_CLASSED = "[" + "".join(CLASSES) + "]"
+
+
 def _number(key: Column, *parts: Column | str) -> Column:
     """A keyed number of 60 bits."""
     said = F.concat_ws("|", key, *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
@@ -163,28 +191,78 @@ def _email(e: Column, key: Column) -> Column:
     return F.concat(_letters(key, "mailbox", whole, 14), F.lit("@"), _letters(key, "domain", domain, 10), F.lit(".example"))
 
 
+def _moved(text: Column, stream: Column, classes: tuple[str, ...]) -> Column:
+    """Every character moved within its class by two hexadecimal digits of the stream."""
+
+    def move(i: Column) -> Column:
+        by = F.conv(F.substring(stream, 2 * i - 1, F.lit(2)), 16, 10).cast("int")
+
+        def within(c: Column) -> Column:
+            out = c
+            for some in classes:
+                at = F.position(c, F.lit(some))
+                out = F.when(at > 0, F.substring(F.lit(some), F.pmod(at - 1 + by, F.lit(len(some))) + 1, F.lit(1))).otherwise(out)
+            return out
+
+        return let(F.substring(text, i, F.lit(1)), within)
+
+    return F.when(F.length(text) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), move), "")).otherwise("")
+
+
+def _shuffled(value: Column, key: Column, kind: str, classes: tuple[str, ...]) -> Column:
+    """Keyed permutation of a string among those with its pattern of classes."""
+
+    def stream(i: Column, other: Column, n: Column) -> Column:
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.floor(n / 32).cast("int")), lambda b: F.sha2(F.concat_ws("|", key, F.lit(kind), i.cast("string"), b.cast("string"), other), 256)), "")
+
+    def step(s: Column, i: Column) -> Column:
+        even = i % 2 == 0
+        return F.struct(
+            F.when(even, _moved(s["a"], stream(i, s["b"], F.length(s["a"])), classes)).otherwise(s["a"]).alias("a"),
+            F.when(even, s["b"]).otherwise(_moved(s["b"], stream(i, s["a"], F.length(s["b"])), classes)).alias("b"),
+        )
+
+    half = F.floor(F.length(value) / 2).cast("int")
+    start = F.struct(F.substring(value, F.lit(1), half).alias("a"), F.substring(value, half + 1, F.length(value)).alias("b"))
+    return let(F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step), lambda s: F.concat(s["a"], s["b"]))
+
+
 def _secret(e: Column, key: Column) -> Column:
-    """The value changes, the name before it stays."""
-    before = F.regexp_extract(e, r"^(?i:token|secret|password|passwd|api[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?", 0)
-    value = e.substr(F.length(before) + F.lit(1), F.length(e))
-    hexed = F.repeat(F.sha2(F.concat_ws("|", key, F.lit("secret"), value), 256), F.ceil(F.length(value) / 64).cast("int"))
-    return F.concat(before, F.when(value.rlike("^[0-9A-Z]+$"), F.upper(hexed)).otherwise(hexed).substr(F.lit(1), F.length(value)))
+    """The value changes; the name of an assignment and the prefix of a typical key stay."""
+    before = F.regexp_extract(e, r"^(?:(?i:token|secret|password|passwd|api[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?)?(?:AKIA(?=[0-9A-Z]{16}$)|gh[a-z]_(?=[A-Za-z0-9]{36}$))?", 0)
+
+    def change(value: Column) -> Column:
+        hexed = F.when(value.rlike("^[0-9a-f]{32,128}$"), _shuffled(value, key, "hex", (HEXADECIMAL,))).otherwise(_shuffled(value, key, "secret", CLASSES))
+        bare = F.repeat(F.sha2(F.concat_ws("|", key, F.lit("bare"), value), 256), F.ceil(F.length(value) / 64).cast("int")).substr(F.lit(1), F.length(value))
+        return F.when(value.rlike(_CLASSED), hexed).otherwise(bare)
+
+    return F.concat(before, let(e.substr(F.length(before) + F.lit(1), F.length(e)), change))
+
+
+def _person(e: Column) -> Column:
+    """The name without its form of address."""
+    return F.regexp_replace(e, rf"^(?:{_ADDRESSES})\.? ", "")
+
+
+def _surname(person: Column) -> Column:
+    return F.substring_index(person, " ", -1)
 
 
 def _name(e: Column, key: Column) -> Column:
+    """Form of address, given name, surname of two halves: the first follows the surname alone, the second the whole name."""
     address = F.regexp_extract(e, rf"^(?:{_ADDRESSES})\.?", 0)
     bare = F.regexp_replace(address, r"\.$", "")
     out = F.lit(None).cast("string")
-    person = F.regexp_replace(e, rf"^(?:{_ADDRESSES})\.? ", "")
+    person = _person(e)
 
-    def family(part: str, syllables: Column) -> Column:
+    def family(part: str, of: Column, syllables: Column) -> Column:
         said = lambda x: F.initcap(F.concat(*[F.get(syllables, F.shiftright(x, 5 * i).bitwiseAND(F.lit(31)).cast("int")) for i in range(6)]))
-        return let(_number(key, "name", part, person), said)
+        return let(_number(key, "name", part, of), said)
 
     for (script, gender), forms in ADDRESS.items():
         given, syllables = F.array(*map(F.lit, GIVEN[script, gender].split())), F.array(*map(F.lit, SYLLABLES[script]))
         first = F.get(given, F.pmod(_number(key, "given", person), F.lit(len(GIVEN[script, gender].split()))).cast("int"))
-        made = F.concat(address, F.lit(" "), first, F.lit(" "), family("1", syllables), F.lit("-"), family("2", syllables))
+        made = F.concat(address, F.lit(" "), first, F.lit(" "), family("1", _surname(person), syllables), F.lit("-"), family("2", person, syllables))
         out = F.when(bare.isin(forms.split()), made).otherwise(out)
     return out
 
@@ -202,7 +280,7 @@ def normalised(entity: Column, kind: Column) -> Column:
     return (
         F.when(kind == "email", F.lower(entity))
         .when(kind == "phone", let(_only_digits(entity), lambda d: F.when(F.length(d) > 10, d).otherwise(F.right(d, F.lit(10)))))
-        .when(kind == "name", F.regexp_replace(entity, rf"^(?:{_ADDRESSES})\.? ", ""))
+        .when(kind == "name", _person(entity))
         .otherwise(entity)
     )
 
@@ -231,22 +309,48 @@ def collision_free_round(df: DataFrame, text_col: str, key: str) -> int:
     entities = materialise(entities, "pii-entities")
     for i in range(TRIES):
         made = entities.select(kind_of(F.col("e")).alias("k"), "e", surrogate(F.col("e"), F.lit(f"{key}#{i}")).alias("s"))
-        same = made.select("k", F.xxhash64(normalised(F.col("e"), F.col("k"))).alias("n"), F.lower(F.when(F.col("k") == "phone", _only_digits(F.col("s"))).otherwise(F.regexp_replace("s", rf"^(?:{_ADDRESSES})\.? ", ""))).alias("s"))
+        same = made.select("k", F.xxhash64(normalised(F.col("e"), F.col("k"))).alias("n"), F.when(F.col("k") == "phone", _only_digits(F.col("s"))).when(F.col("k") == "name", _person(F.col("s"))).otherwise(F.col("s")).alias("s"))
         clash = same.groupBy("k", "s").agg(F.min("n").alias("a"), F.max("n").alias("b")).where("a <> b")
         if clash.isEmpty():
             return i
     raise ValueError(f"two entities share a surrogate under each of {TRIES} rounds of the key")
 
 
-def replace(df: DataFrame, text_col: str = "text", key: str = "lexweave") -> DataFrame:
-    """``df`` with surrogates in ``text_col`` and the number of entities in ``n_entities``."""
+def session_key(spark: SparkSession) -> str:
+    """The session's key: its setting, or a random one that holds for the session."""
+    if not (key := spark.conf.get(KEY, None)):
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY, key)
+    return key
+
+
+def _mentions(found: Column, key: Column) -> Column:
+    """(said, surrogate) of the bare mentions that the names found give away: full names first, then each surname's first person."""
+    names = F.array_distinct(F.filter(found, lambda e: kind_of(e) == "name"))
+    people = F.transform(names, lambda e: let(_person(surrogate(e, key)), lambda s: F.struct(_person(e).alias("said"), s.alias("s"))))
+    whole = F.filter(people, lambda p: p["said"].contains(" "))
+    last = F.transform(people, lambda p: F.struct(_surname(p["said"]).alias("said"), _surname(p["s"]).alias("s")))
+    return F.concat(whole, F.filter(last, lambda p: F.length(p["said"]) > 2))
+
+
+def _unnamed(piece: Column, mentions: Column) -> Column:
+    return F.aggregate(mentions, piece, lambda t, p: F.regexp_replace(t, F.concat(F.lit(r"(?<![\p{L}\p{N}])"), p["said"], F.lit(r"(?![\p{L}\p{N}])")), p["s"]))
+
+
+def replace(df: DataFrame, text_col: str = "text", key: str | None = None) -> DataFrame:
+    """``df`` with surrogates in ``text_col`` and the number of entities in ``n_entities``; without ``key`` the session's is used."""
+    key = session_key(df.sparkSession) if key is None else key
     used = F.lit(f"{key}#{collision_free_round(df, text_col, key)}")
     text = F.col(text_col)
     at = df.withColumn("__found", F.coalesce(found_in(text), F.array().cast("array<string>")))
 
     def put(found: Column) -> Column:
-        between = F.split(text, ANY, -1)
-        return F.array_join(F.transform(between, lambda p, i: F.concat(p, F.when(i < F.size(found), surrogate(F.get(found, i), used)).otherwise(""))), "")
+        def joined(mentions: Column) -> Column:
+            between = F.split(text, ANY, -1)
+            said = lambda p: F.when(F.size(mentions) > 0, _unnamed(p, mentions)).otherwise(p)
+            return F.array_join(F.transform(between, lambda p, i: F.concat(said(p), F.when(i < F.size(found), surrogate(F.get(found, i), used)).otherwise(""))), "")
+
+        return let(_mentions(found, used), joined)
 
     changed = F.when(F.size("__found") == 0, text).otherwise(put(F.col("__found")))
     return at.withColumns({text_col: changed, "n_entities": F.size("__found").cast("long")}).drop("__found")

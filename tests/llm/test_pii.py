@@ -68,6 +68,70 @@ def test_secrets_of_letters_only(spark):
     assert all(got[i]["n_entities"] == 1 and s not in got[i]["text"] for i, s in enumerate(secrets)) and got[9]["n_entities"] == 0
 
 
+SECRETS = {
+    "AKIA": lambda r: "AKIA" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)),
+    "gh": lambda r: f"gh{r.choice('pos')}_" + "".join(r.choice("abcXYZ0189") for _ in range(36)),
+    "hex": lambda r: "".join(r.choice("0123456789abcdef") for _ in range(r.randrange(32, 129))),
+    "password": lambda r: r.choice(["password: ", "API_KEY=", 'token = "', "passwd:'"]) + "".join(r.choice("abcXYZ019!$é-_.Ж") for _ in range(r.randrange(8, 90))),
+    "vendor": lambda r: "secret=AKIA" + "".join(r.choice("ABC234") for _ in range(16)),
+}
+
+
+@pytest.mark.parametrize("kind", SECRETS)
+def test_secrets_keep_kind_prefix_and_classes(spark, kind):
+    rng = random.Random(kind)
+    some = sorted({SECRETS[kind](rng) for _ in range(300)})
+    got = mapped(spark, some)
+    assert {k for k, _ in got.values()} == {"secret"} and len({s for _, s in got.values()}) == len(some)
+    again = mapped(spark, [s for _, s in got.values()])
+    assert {k for k, _ in again.values()} == {"secret"}
+    classes = lambda s: "".join(next((str(i) for i, c in enumerate(pii.CLASSES) if x in c), x) for x in s)
+    for entity, (_, new) in got.items():
+        assert new != entity and len(new) == len(entity)
+        if kind == "hex":
+            assert re.fullmatch("[0-9a-f]+", new)
+        else:
+            assert classes(new) == classes(entity)
+        prefix = re.match(r"(?:secret=)?AKIA|gh[a-z]_|(?:password: |API_KEY=|token = \"|passwd:')|", entity).group()
+        assert new.startswith(prefix)
+
+
+def test_every_kind_stays_its_kind(spark):
+    rng = random.Random(9)
+    for kind, make in MADE.items():
+        new = [s for _, s in mapped(spark, sorted({make(rng) for _ in range(100)})).values()]
+        assert {k for k, _ in mapped(spark, new).values()} == {kind}
+
+
+def test_a_million_short_secrets_stay_distinct(spark):
+    n = 1_000_000
+    made = spark.range(n).select(F.concat(F.lit("token="), F.lpad(F.col("id").cast("string"), 8, "0")).alias("e"))
+    new = made.select(pii.surrogate(F.col("e"), F.lit("k#0")).alias("s"))
+    assert new.distinct().count() == n and new.where(~F.col("s").rlike("^token=[0-9]{8}$")).isEmpty()
+
+
+def test_bare_mentions_of_found_names(spark):
+    text = "Mr. John Smith came. John Smith left; Smithson too. Smith said so. Dr. Jane Roe and Frau Roe know Smith-like words, Jane Roe, Jane."
+    [row] = pii.replace(spark.createDataFrame([(1, text, "c")], SCHEMA), key="k").collect()
+    new = row["text"]
+    assert row["n_entities"] == 3 and "John" not in new and not re.search(r"\bSmith\b", new) and not re.search(r"\bRoe\b", new) and "Smithson" in new and new.endswith("Jane.")
+    given, family = re.match(r"Mr\. (\w+) ([\w-]+) came", new).groups()
+    assert f"{given} {family} left" in new and f". {family} said so" in new
+    jane = re.search(r"Dr\. (\w+) ([\w-]+) and Frau (\w+) ([\w-]+) know", new).groups()
+    assert jane[1].split("-")[0] == jane[3].split("-")[0] and jane[1] != jane[3] and f"{jane[0]} {jane[1]}, Jane." in new
+
+
+def test_key_comes_from_the_session(spark):
+    df = spark.createDataFrame([(1, "ann@x.com", "c")], SCHEMA)
+    spark.conf.unset(pii.KEY)
+    first = pii.replace(df).first()["text"]
+    drawn = spark.conf.get(pii.KEY)
+    assert len(drawn) == 64 and pii.replace(df).first()["text"] == first == pii.replace(df, key=drawn).first()["text"]
+    spark.conf.set(pii.KEY, "other")
+    assert pii.replace(df).first()["text"] != first
+    spark.conf.unset(pii.KEY)
+
+
 def test_coreference(spark):
     got = mapped(spark, ["Ann@X.com", "ann@x.com", "bob@x.com", "+1 (499) 555-6503", "499-555-6503"])
     assert got["Ann@X.com"][1] == got["ann@x.com"][1] != got["bob@x.com"][1]
