@@ -262,7 +262,8 @@ def grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_d
     root_of = components(links(nodes.select("fp"), max_distance), "simhash")
     if root_of is not None:
         rooted = nodes.join(root_of.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+        rooted = materialise(rooted, "simhash-rooted")
+        best = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-best")  # a table, so that the join can split a large component
         nodes = materialise(rooted.join(best, "root").select("fp", "root", "component_id"), "simhash-component")
     else:
         nodes = nodes.select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
