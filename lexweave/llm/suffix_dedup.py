@@ -5,13 +5,15 @@ smallest start) stays, every byte covered by a later one goes. Suffixes are orde
 bytes: passes over digits of eight bytes split groups of equal prefixes, groups of one are dropped at once, and
 the groups left after the last pass are exactly the repeated windows.
 
-What enters the passes is thinned first, without loss. Every window picks its anchor, the place of its smallest
-gram hash; equal windows pick the same place, so windows whose anchor hash occurs once cannot repeat. Only
-anchors whose hash occurs again are joined back to their texts and cut into segments of adjacent windows.
-Segments are dealt by anchor hash; a task folds those of equal content to the first before it orders windows. Anchors met
-more than ``crowd`` times are dealt by window instead: a partial aggregate finds the first place of each window and a
-join, which can be split, marks the others.
-Exact copies of a whole text are told by its SHA-256 and removed as a whole.
+What enters the passes is thinned first, without loss. Later copies of a whole text (told by SHA-256) are removed as a
+whole and not looked at. Every window picks its anchor, the place of its smallest gram hash; equal windows pick the
+same place, so windows whose anchor hash occurs once cannot repeat. Only anchors whose hash occurs again are joined back
+to their texts and cut into segments of adjacent windows. A partial aggregate folds equal segments to the first, so a
+passage that a third of all texts share is one segment a task before anything is dealt; what the first holds, the
+others repeat. The first digit of a window is its anchor's hash and its distance from the anchor: segments are dealt by the hash and
+a task orders the windows of its groups digit by digit. A hash with more than ``crowd`` different segments takes its next
+digit before it is dealt: its windows are halved by their distance from the anchor, and each half is dealt by the bytes
+that all its windows must share, which grow from pass to pass until the whole window is the digit.
 
 Defined results: a null text is empty; texts shorter than ``length`` are never touched; a null id comes after all
 others; rows that share id and text are one document and get the same result; rows that share an id but
@@ -22,19 +24,19 @@ results are returned.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialise, shuffle_partitions
+from .common import Scratch, as_bytes, shuffle_partitions
 
 LENGTH = 100  # bytes of a repeat
 GRAM = 32  # bytes of a gram; a power of two
-CROWD = 20_000  # segments of one anchor hash (about 3 MB) that one task may order
+CROWD = 20_000  # different segments of one digit (about 3 MB) that one task may order
 PIECE = 1 << 19  # windows of a text that are scanned at once
 LAST = (1 << 63) - 1  # stands for a null id
 _LOW = np.uint64((1 << 20) - 1)
@@ -111,20 +113,34 @@ def radix_groups(data: bytes, starts: np.ndarray, group: np.ndarray, length: int
     return at, group
 
 
-def _runs(key: tuple[np.ndarray, ...], place: np.ndarray) -> Iterator[tuple[int, int]]:
-    """(first, last) index of each run of adjacent places with one key."""
-    if not len(place):
-        return
-    cut = place[1:] != place[:-1] + 1
-    for k in key:
-        cut = cut | (k[1:] != k[:-1])
-    first = np.flatnonzero(np.concatenate(([True], cut)))
-    yield from zip(first.tolist(), (np.append(first[1:], len(place)) - 1).tolist(), strict=True)
+SEGMENT = "k long, id long, tie long, p long, digest binary"
+BYTES = "k long, id long, tie long, p long, bytes binary"
+RUN = "id long, tie long, s long, e long"
+
+
+def _names(schema: str) -> list[str]:
+    return [f.split()[0] for f in schema.split(", ")]
+
+
+def _pack(a: np.ndarray, most: np.ndarray, least: np.ndarray, length: int) -> np.ndarray:
+    """One number for an anchor's place and its windows' largest and least distance before it."""
+    return (a * length + most) * length + least
+
+
+def _unpack(p: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rest, least = np.divmod(p, length)
+    return *np.divmod(rest, length), least
+
+
+def _digest(some: bytes, *numbers: int) -> bytes:
+    return hashlib.blake2b(some, digest_size=16, salt=b"".join(n.to_bytes(8, "little") for n in numbers)).digest()
 
 
 def _scan(length: int, gram: int):
+    """Worker: texts; out: every anchor."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "id", "tie", "a", "lo", "hi"]
+        names = ["h", "id", "tie", "p"]
         for batch in batches:
             ids, ties = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             out: list[tuple] = []
@@ -133,7 +149,7 @@ def _scan(length: int, gram: int):
                 if len(text) < length:
                     continue
                 h, a, lo, hi = anchors(text, length, gram)
-                out.append((h, np.full(len(h), ids[i]), np.full(len(h), ties[i]), a, lo, hi))
+                out.append((h, np.full(len(h), ids[i]), np.full(len(h), ties[i]), _pack(a, a - lo, a - hi, length)))
                 held += len(h)
                 if held > 100_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names)
@@ -144,118 +160,87 @@ def _scan(length: int, gram: int):
     return run
 
 
-SEGMENT = "h long, id long, tie long, a long, lo long, hi long, bytes binary"
-SEGMENT_NAMES = [f.split()[0] for f in SEGMENT.split(", ")]
-RUN = "id long, tie long, s long, e long"
+def _rows(rows: Iterator[tuple], schema: str, size: int = 10_000) -> Iterator[pa.RecordBatch]:
+    while some := list(itertools.islice(rows, size)):
+        kinds = [*[pa.int64()] * 4, pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*some, strict=True), kinds, strict=True)], _names(schema))
 
 
-def _window_hash(text: bytes, length: int) -> np.ndarray:
-    """A 64-bit hash of every window of ``length`` bytes."""
-    data = np.frombuffer(text, np.uint8)
-    h, step, size, out, done = data.astype(np.uint64) + np.uint64(3), 0xD6E8FEB86659FD93, 1, None, 0
-    while size <= length:  # binary parts of the length, each hashed by doubling
-        if length & size:
-            out = h if out is None else out[: len(h) - done] * np.uint64(step) + h[done:]
-            done += size
-        if size * 2 <= length:
-            h = h[:-size] * np.uint64(step) + h[size:]
-        step = step * step % (1 << 64) + 2 * size
-        size *= 2
-    out = out[: len(data) - length + 1].copy()
-    out ^= out >> np.uint64(32)
-    out *= np.uint64(0xD6E8FEB86659FD93)
-    return out.view(np.int64)
+def _placed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple]:
+    """(text, id, tie, k, p, a, most, least) of every segment of the texts (id, tie, text, found)."""
+    for batch in batches:
+        ids, ties, found = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)
+        offsets = found.offsets.to_numpy()
+        k, p = (found.values.field(i).to_numpy() for i in range(2))
+        for i, text in enumerate(as_bytes(batch.column(2))):
+            own = slice(offsets[i], offsets[i + 1])
+            for each in zip(k[own].tolist(), p[own].tolist(), *(x.tolist() for x in _unpack(p[own], length)), strict=True):
+                yield text, ids[i], ties[i], *each
 
 
-def _cut(length: int, crowd: int, crowded: bool):
-    """Worker: texts with their repeated anchors; out: the segments of the anchors that are crowded, or of those that are not."""
+def _first_digit(length: int):
+    """Worker: texts with their repeated anchors; out: the segment of each, from its first window's start to its last one's end, by digest."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, ties = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            found = batch.column(3)
-            offsets = found.offsets.to_numpy()
-            fields = [found.values.field(i).to_numpy() for i in range(5)]  # h, a, lo, hi, n
-            out: list[tuple] = []
-            held = 0
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for text, i, t, k, p, a, most, least in _placed(batches, length):
+            yield k, i, t, p, _digest(text[a - most : a - least + length], most, least)
 
-            def flush(out=out):
-                columns = [pa.array(np.concatenate(x)) for x in list(zip(*out, strict=True))[:-1]]
-                return pa.RecordBatch.from_arrays([*columns, pa.array([b for o in out for b in o[-1]], pa.binary())], SEGMENT_NAMES)
+    return lambda batches: _rows(rows(batches), SEGMENT)
 
-            for i, text in enumerate(as_bytes(batch.column(2))):
-                own = slice(offsets[i], offsets[i + 1])
-                h, a, lo, hi, n = (f[own] for f in fields)
-                some = (n > crowd) == crowded
-                if not some.any():
-                    continue
-                h, a, lo, hi = h[some], a[some], lo[some], hi[some]
-                out.append((h, np.full(len(h), ids[i]), np.full(len(h), ties[i]), a, lo, hi, [text[x : y + length] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]))
-                held += len(h)
-                if held > 10_000:
-                    yield flush()
-                    out.clear()
-                    held = 0
-            if out:
-                yield flush()
 
-    return run
+def _next_digit(length: int, width: int):
+    """Worker: texts with their segments of crowded digits; out: the windows by ranges of ``width`` distances from the anchor, each dealt by the bytes that all windows of its range share."""
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for text, i, t, k, _, a, most, least in _placed(batches, length):
+            for r in range(least // width, most // width + 1):
+                first, last = r * width, r * width + width - 1
+                x, y = max(least, first), min(most, last)
+                shared = text[a - first : max(a + length - last, a - first)]
+                digit = int.from_bytes(_digest(shared, k % (1 << 64), r)[:8], "little", signed=True)
+                yield digit, i, t, (a * length + y) * length + x, _digest(text[a - y : a - x + length], y, x)
 
-def _windows(length: int):
-    """Worker: segments; out: each of their windows with a hash of its bytes."""
+    return lambda batches: _rows(rows(batches), SEGMENT)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 4096):
-                batch = whole.slice(at, 4096)
-                h, ids, ties, lo, hi = (batch.column(c).to_numpy() for c in ("h", "id", "tie", "lo", "hi"))
-                size = hi - lo + 1
-                p = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-                hashes = np.concatenate([_window_hash(b, length) for b in batch.column("bytes").to_pylist()] or [np.zeros(0, np.int64)])
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.repeat(h, size), hashes, np.repeat(ids, size), np.repeat(ties, size), p)], ["h", "wh", "id", "tie", "p"])
 
-    return run
+def _with_bytes(length: int):
+    """Worker: texts with their segments; out: the segments with their bytes."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for text, i, t, k, p, a, most, least in _placed(batches, length):
+            yield k, i, t, p, text[a - most : a - least + length]
+
+    return lambda batches: _rows(rows(batches), BYTES)
 
 
 def _order(length: int):
-    """Worker: segments sorted by anchor hash; out: runs of repeated windows (id, tie, s, e)."""
+    """Worker: segments sorted by their digit; out: runs of repeated windows (id, tie, s, e)."""
 
     def solve(rows: pa.Table) -> pa.RecordBatch | None:
-        h, ids, ties, a, lo, hi = (rows.column(c).to_numpy() for c in SEGMENT_NAMES[:-1])
+        key, ids, ties, p = (rows.column(c).to_numpy() for c in ("k", "id", "tie", "p"))
         parts = rows.column("bytes").to_pylist()
-        # Equal segments of one anchor first: all windows of the later ones repeat, only the first goes on.
-        same = pd.factorize(np.array([*parts, None], dtype=object)[:-1])[0]
-        order = np.lexsort((a, ties, ids, lo - a, same, h))
-        keys = [x[order] for x in (h, same, lo - a)]
-        head = np.concatenate(([True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys])))
-        of_head = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
-        own = (ids[order] == ids[of_head]) & (ties[order] == ties[of_head]) & (a[order] == a[of_head])  # a repeated row
-        later, order = order[~own], order[head]
-        out = [(ids[later], ties[later], lo[later], hi[later])]
-        h, ids, ties, a, lo, hi = (x[order] for x in (h, ids, ties, a, lo, hi))
-        parts = [parts[i] for i in order.tolist()]
-
+        a, most, least = _unpack(p, length)
         data = b"".join(parts)
         base = np.cumsum([0, *map(len, parts)])[:-1]
-        size = hi - lo + 1
-        of = np.repeat(np.arange(len(h)), size)
+        size = most - least + 1
+        of = np.repeat(np.arange(len(key)), size)
         inner = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
-        place = lo[of] + inner
-        _, of_h = np.unique(h, return_inverse=True)
-        # equal windows stand at the same distance from their anchor, so that distance is the first digit
-        at, group = radix_groups(data, base[of] + inner, of_h[of] * (length + 1) + (a[of] - place), length)
-        if len(at):
-            order = np.lexsort((place[at], ties[of[at]], ids[of[at]], group))
-            at, group = at[order], group[order]
-            first = np.concatenate(([True], group[1:] != group[:-1]))  # of equal windows the first stays
-            i, t, p = (k[~first] for k in (ids[of[at]], ties[of[at]], place[at]))
-            order = np.lexsort((p, t, i))
-            i, t, p = i[order], t[order], p[order]
-            runs = np.array(list(_runs((i, t), p)), np.int64).reshape(-1, 2)
-            out.append((i[runs[:, 0]], t[runs[:, 0]], p[runs[:, 0]], p[runs[:, 1]]))
-        found = [np.concatenate(x) for x in zip(*out, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["id", "tie", "s", "e"]) if len(found[0]) else None
+        _, of_key = np.unique(key, return_inverse=True)
+        # equal windows stand at the same distance from their anchor, so that distance is a digit too
+        at, group = radix_groups(data, base[of] + inner, of_key[of] * length + most[of] - inner, length)
+        if not len(at):
+            return None
+        of, place = of[at], (a - most)[of[at]] + inner[at]
+        order = np.lexsort((place, ties[of], ids[of], group))
+        of, place, group = of[order], place[order], group[order]
+        later = np.concatenate(([False], group[1:] == group[:-1]))  # of equal windows the first stays
+        i, t, s = ids[of[later]], ties[of[later]], place[later]
+        order = np.lexsort((s, t, i))
+        i, t, s = i[order], t[order], s[order]
+        cut = np.concatenate(([True], (s[1:] != s[:-1] + 1) | (i[1:] != i[:-1]) | (t[1:] != t[:-1])))
+        first = np.flatnonzero(cut)
+        last = np.append(first[1:], len(s)) - 1
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (i[first], t[first], s[first], s[last])], _names(RUN))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -266,90 +251,119 @@ def _order(length: int):
             if count < 8192:
                 continue
             rows = pa.Table.from_batches(held).combine_chunks()
-            h = rows.column("h").to_numpy()
-            cut = int(np.searchsorted(h, h[-1]))  # the last anchor may go on in the next batch
+            key = rows.column("k").to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))  # the last digit may go on in the next batch
             if cut and (found := solve(rows.slice(0, cut))) is not None:
                 yield found
             held = rows.slice(cut).to_batches()
-            count = len(h) - cut
+            count = len(key) - cut
         if count and (found := solve(pa.Table.from_batches(held))) is not None:
             yield found
 
     return run
 
 
+SPAN = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
+
+
 def _remove(length: int):
     """Worker: texts with runs of repeated windows; out: what is removed and the hash of what stays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text, runs in zip(as_bytes(batch.column(2)), batch.column(3).to_pylist(), strict=True):
-                spans: list[list[int]] = []
-                for s, e in sorted((r["s"], r["e"] + length) for r in runs):
-                    if spans and s <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], e)
-                    else:
-                        spans.append([s, e])
+            runs = batch.column(3)
+            offsets = runs.offsets.to_numpy()
+            starts, ends = (runs.values.field(i).to_numpy() for i in range(2))
+            removed, spans, digests = [], [], []
+            for i, text in enumerate(as_bytes(batch.column(2))):
+                own = slice(offsets[i], offsets[i + 1])
+                order = np.argsort(starts[own], kind="stable")
+                s, e = starts[own][order], np.maximum.accumulate(ends[own][order] + length)
+                first = np.flatnonzero(np.concatenate(([True], s[1:] > e[:-1])))
+                s, e = s[first].tolist(), e[np.append(first[1:], len(s)) - 1].tolist()
                 rest, at = hashlib.sha256(), 0
-                for s, e in spans:
-                    rest.update(text[at:s])
-                    at = e
+                for x, y in zip(s, e, strict=True):
+                    rest.update(text[at:x])
+                    at = y
                 rest.update(text[at:])
-                rows.append((sum(e - s for s, e in spans), spans, rest.hexdigest()))
-            columns = [
-                pa.array([r[0] for r in rows], pa.int64()),
-                pa.array([[{"s": s, "e": e} for s, e in r[1]] for r in rows], pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))),
-                pa.array([r[2] for r in rows], pa.string()),
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "tie", "n_removed", "spans", "kept_sha256"])
+                removed.append(sum(e) - sum(s))
+                spans.append([{"s": x, "e": y} for x, y in zip(s, e, strict=True)])
+                digests.append(rest.hexdigest())
+            columns = [pa.array(removed, pa.int64()), pa.array(spans, SPAN), pa.array(digests, pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "tie", "n_removed", "spans", "rest"])
 
     return run
 
 
+def _at_texts(texts: DataFrame, segments: DataFrame) -> DataFrame:
+    """Texts (id, tie, text, found) with their segments (k, id, tie, p)."""
+    found = segments.groupBy("id", "tie").agg(F.collect_list(F.struct("k", "p")).alias("found"))
+    return texts.join(found, ["id", "tie"]).select("id", "tie", "text", "found")
+
+
+def _repeated_windows(scratch: Scratch, texts: DataFrame, marked: DataFrame, length: int, gram: int, crowd: int) -> DataFrame:
+    """(id, tie, s, e): runs of windows, by their starts, that an earlier place has as well."""
+    segments = _at_texts(texts, marked).mapInArrow(_first_digit(length), SEGMENT)
+    runs = None
+    width, level = length - gram + 1, 0
+    place = F.struct("id", "tie", "p")
+    while True:
+        segments = scratch.table(segments, f"segments-{level}")
+        folded = segments.groupBy("digest").agg(F.min(place).alias("head"), F.any_value("k").alias("k"), F.count("*").alias("n"))
+        heads = scratch.table(folded.select("k", "digest", "head.*", "n"), f"heads-{level}")
+        head = heads.where("n > 1").select("digest", place.alias("head"))
+        others = segments.drop("k").join(head, "digest").where(place != F.col("head"))
+        a = F.expr(f"p div {length * length}")
+        whole = others.select("id", "tie", (a - F.pmod(F.expr(f"p div {length}"), F.lit(length))).alias("s"), (a - F.pmod("p", F.lit(length))).alias("e"))
+
+        digits = scratch.table(heads.groupBy("k").agg(F.count("*").alias("m")).where("m > 1"), f"digits-{level}")
+        met = scratch.table(heads.select("k", "id", "tie", "p").join(digits, "k"), f"met-{level}")
+        read = _at_texts(texts, met.where(F.col("m") <= crowd)).mapInArrow(_with_bytes(length), BYTES)
+        dealt = read.repartition(shuffle_partitions(scratch.spark), "k").sortWithinPartitions("k")
+        found = scratch.table(whole, f"whole-{level}").unionByName(scratch.table(dealt.mapInArrow(_order(length), RUN), f"runs-{level}"))
+        runs = found if runs is None else runs.unionByName(found)
+        scratch.drop(f"segments-{level}", f"heads-{level}", f"digits-{level}")
+        crowded = met.where(F.col("m") > crowd)
+        if crowded.isEmpty():
+            return runs
+        width, level = (width + 1) // 2, level + 1
+        segments = _at_texts(texts, crowded).mapInArrow(_next_digit(length, width), SEGMENT)
+
+
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
     """(id, n_bytes, n_removed, spans, kept_sha256) for every row; ``spans`` are the maximal removed runs of bytes."""
-    spark = df.sparkSession
+    scratch = Scratch(df.sparkSession, "dedup")
     gram = 1 << max(0, (length // 3).bit_length() - 1)
     named = df.select(F.col(id_col).cast("long").alias("own"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     named = named.withColumn("id", F.coalesce("own", F.lit(LAST)))
     rows = named.select("own", "id", F.xxhash64("text").alias("th"), F.unhex(F.sha2("text", 256)).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes"))
-    rows = materialise(rows, "dedup-rows")
+    rows = scratch.table(rows, "rows")
     unique = rows.groupBy("id").count().where("count > 1 or id = " + str(LAST)).isEmpty()
-    tie = F.lit(0).cast("long") if unique else F.xxhash64("text")
-    texts = named.select("id", tie.alias("tie"), "text")
-    rows = rows.withColumn("tie", F.lit(0).cast("long") if unique else F.col("th"))
-    firsts = rows.groupBy("sha").agg(F.min("id").alias("first"))
-    rows = materialise(rows.join(firsts, "sha"), "dedup-firsts")
-
-    scanned = texts.mapInArrow(_scan(length, gram), "h long, id long, tie long, a long, lo long, hi long")
-    again = scanned.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    marked = scanned.join(again, "h")
-    own = F.struct("h", "a", "lo", "hi", "n")
-    first_rows = rows.where("id = first").select("id", "tie").distinct()
-    by_text = marked.groupBy("id", "tie").agg(F.collect_set(own).alias("found")).join(first_rows, ["id", "tie"])
-    by_text = materialise(by_text, "dedup-anchors")
-
-    joined = texts.join(by_text.hint("shuffle_hash"), ["id", "tie"]).select("id", "tie", "text", "found")
-    quiet = joined.mapInArrow(_cut(length, crowd, False), SEGMENT)
-    dealt = quiet.repartition(shuffle_partitions(spark), "h").sortWithinPartitions("h")
-    ordered = dealt.mapInArrow(_order(length), RUN)
-
-    crowded = joined.mapInArrow(_cut(length, crowd, True), SEGMENT)
-    windows = crowded.mapInArrow(_windows(length), "h long, wh long, id long, tie long, p long")
-    at = F.struct("id", "tie", "p")
-    first = windows.groupBy("h", "wh").agg(F.min(at).alias("head"), F.max(at).alias("tail")).where("head <> tail").select("h", "wh", "head")
-    single = windows.join(first, ["h", "wh"]).where(at != F.col("head")).select("id", "tie", F.col("p").alias("s"), F.col("p").alias("e"))
-    runs = materialise(ordered.unionByName(single), "dedup-runs")
-
-    by_run = runs.groupBy("id", "tie").agg(F.collect_set(F.struct("s", "e")).alias("runs"))
-    cut = texts.join(by_run.hint("shuffle_hash"), ["id", "tie"]).select("id", "tie", "text", "runs")
-    cut = cut.mapInArrow(_remove(length), "id long, tie long, n_removed long, spans array<struct<s:long,e:long>>, kept_sha256 string")
-    cut = cut.dropDuplicates(["id", "tie"]).withColumnRenamed("kept_sha256", "rest")
-    copy = (F.col("id") != F.col("first")) & (F.col("n_bytes") >= length)
+    zero = F.pmod("id", F.lit(1).cast("long"))  # a literal would be dropped from the keys, and texts dealt twice
+    texts = named.select("id", (zero if unique else F.xxhash64("text")).alias("tie"), "text")
+    rows = rows.withColumn("tie", zero if unique else F.col("th"))
+    firsts = rows.groupBy("sha").agg(F.min(F.struct("id", "tie")).alias("first")).select("first.*")
+    firsts = scratch.table(firsts, "firsts")
+
+    texts = texts.join(firsts.hint("merge"), ["id", "tie"], "left_semi")  # deals the texts once, for the join and the buckets
+    with scratch.dealt(texts if unique else texts.dropDuplicates(["id", "tie"]), "texts", "id", "tie") as texts:
+        scanned = texts.mapInArrow(_scan(length, gram), "h long, id long, tie long, p long")
+        scanned = scratch.table(scanned, "anchors")
+        again = scratch.table(scanned.groupBy("h").count().where("count > 1").select("h"), "again")  # a table, so that the join can split a hot anchor
+        marked = scratch.table(scanned.join(again, "h").select(F.col("h").alias("k"), "id", "tie", "p"), "marked")
+        scratch.drop("anchors", "again")
+        runs = _repeated_windows(scratch, texts, marked, length, gram, crowd)
+        scratch.drop("marked")
+
+        by_run = runs.groupBy("id", "tie").agg(F.collect_list(F.struct("s", "e")).alias("runs"))
+        cut = texts.join(by_run, ["id", "tie"]).select("id", "tie", "text", "runs")
+        cut = cut.mapInArrow(_remove(length), "id long, tie long, n_removed long, spans array<struct<s:long,e:long>>, rest string")
+        cut = scratch.table(cut, "cut")
+    is_first = firsts.withColumn("first", F.lit(True))
+    copy = F.col("first").isNull() & (F.col("n_bytes") >= length)
     none = F.array().cast("array<struct<s:long,e:long>>")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("s"), F.col("n_bytes").alias("e")))
-    return rows.join(cut, ["id", "tie"], "left").select(
+    return rows.join(is_first, ["id", "tie"], "left").join(cut, ["id", "tie"], "left").select(
         F.col("own").alias(id_col),
         "n_bytes",
         F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
