@@ -83,3 +83,21 @@ def test_every_covered_text_is_found():
             text = " ".join(["x"] * rng.randrange(9) + changed)
             assert [r[0] for r in index.scan(text)] == ["t"], (size, text)
     assert ls.Index({"e": "", "one": "MIT"}).scan("MIT")[0][:3] == ("one", 1.0, 1)
+
+
+def test_recall_of_each_template():
+    """Random changes, drops and additions that leave the coverage and the band: all must be found with the words a brute-force alignment counts."""
+    rng = random.Random(7)
+    index = ls.Index(ls.TEMPLATES)
+    for of, name in enumerate(index.names):
+        words = [w.decode() for w in index.words[of]]
+        found = 0
+        for _ in range(25):
+            changed = list(words)
+            for i in rng.sample(range(len(words)), rng.randint(0, len(words) - index.least[of])):
+                changed[i] = "zzz"
+            text = " ".join([f"w{rng.randrange(99)}" for _ in range(rng.randrange(200))] + changed)
+            reports = [r for r in index.scan(text) if r[0] == name]
+            want = sum(a == b for a, b in zip(changed, words))
+            found += bool(reports) and max(r[2] for r in reports) >= want
+        assert found == 25, (name, found)
