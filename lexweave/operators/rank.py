@@ -1,8 +1,9 @@
 """Reverse lookup: rank the words of a lexicon for a description.
 
-Plan: gloss tokens are exploded and counted once (a partial aggregate); the distinct tokens, not the records, are compared
-with the concepts; the few that match go back to their records by a join. Records without any evidence leave before
-the score, which is a fold over the concepts in order. ``top_k`` ends in TakeOrderedAndProject.
+Plan: gloss tokens are taken from the records once, or read from postings made at ingest; only those that begin like a concept are
+compared with the concepts, and only those that match are written, counted and joined back to their records, so no other
+token is ever shuffled. Records without any evidence leave before the score, which is a fold over the concepts in
+order. ``top_k`` ends in TakeOrderedAndProject.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.render import explain
 from ..functions.text import gloss_tokens, idf, origin_factor, register_factor, score_text, singularish, stems_match
 from ..functions.translit import fold_diacritics
+from ..session import stored
 from .concepts import COMPOUND_BYTES, Concept, build_concepts, concept_array, query_tokens
 
 # The parts of a score.
@@ -28,6 +30,11 @@ def document_frequency(lexicon: DataFrame) -> DataFrame:
     return lexicon.select(F.explode(gloss_tokens(F.col("tags"))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
 
 
+def postings(lexicon: DataFrame) -> DataFrame:
+    """(token, id, pos): the place of every gloss token in its record."""
+    return lexicon.select("id", F.posexplode(gloss_tokens(F.col("tags"))).alias("pos", "token")).select("token", "id", "pos")
+
+
 def _any(tests: list[Column]) -> Column:
     out = F.lit(False)
     for t in tests:
@@ -88,30 +95,32 @@ def rank_semantic(
     candidates: tuple[str, ...] = (),
     edges: DataFrame | None = None,
     allow_echo: bool = False,
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """The lexicon's columns with ``score`` and ``matched`` for every word with evidence; order with ``ordered`` or ``top_k``.
 
     ``bridge`` is the vocabulary of the gloss bridge (often the unfiltered lexicon). Document frequencies and the number of
-    records are those of ``lexicon``.
+    records are those of ``lexicon``; ``index`` is its postings if they are stored.
     """
     spark = lexicon.sparkSession
     tokens = query_tokens(spark, query)
     concepts = build_concepts(spark, query, bridge, candidates, edges)
-    return score_records(lexicon, tokens, concepts, allow_echo)
+    return score_records(lexicon, tokens, concepts, allow_echo, index)
 
 
-def score_records(lexicon: DataFrame, tokens: list[str], concepts: list[Concept], allow_echo: bool = False) -> DataFrame:
+def score_records(lexicon: DataFrame, tokens: list[str], concepts: list[Concept], allow_echo: bool = False, index: DataFrame | None = None) -> DataFrame:
     spark = lexicon.sparkSession
     array = F.transform(concept_array(concepts), lambda c: c.withField("stem", singularish(c["term"])))
     terms = sorted({c.term for c in concepts})
     n = max(1, lexicon.count())
-    exploded = lexicon.select("id", F.posexplode(gloss_tokens(F.col("tags"))).alias("pos", "token"))
     stems = spark.createDataFrame([(t,) for t in terms], "term string").select(singularish(F.col("term")).alias("y")).distinct()
-    keyed = document_frequency(lexicon).withColumn("stem", singularish(F.col("token")))
+    at = postings(lexicon) if index is None else index
+    begins = _any([F.startswith("token", F.lit(t)) for t in sorted({t[:2] for t in terms})])  # a stem has the first two characters of its term
     alike = (F.left(F.col("stem"), F.lit(2)) == F.left(F.col("y"), F.lit(2))) & stems_match(F.col("stem"), F.col("y"))
-    vocabulary = keyed.join(F.broadcast(stems), alike, "left_semi")  # a row for each concept, which the caps bound
-    weighed = vocabulary.select("token", "stem", idf(F.lit(float(n)), F.col("df")).alias("idf"))
-    hits = exploded.join(weighed, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "stem", "idf"))).alias("__glosses"))
+    at = at.where(begins).withColumn("stem", singularish(F.col("token")))
+    at = stored(at.join(F.broadcast(stems), alike, "left_semi"), "rank-hits")  # a row for each concept, which the caps bound
+    weighed = at.groupBy("token").agg(F.count("*").alias("df")).select("token", idf(F.lit(float(n)), F.col("df")).alias("idf"))
+    hits = at.join(weighed, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "stem", "idf"))).alias("__glosses"))
 
     word, latin = F.lower("word"), fold_diacritics(F.lower("translit"))
     at = lexicon.withColumns({"__word": word, "__latin": latin, "__direct": _direct(tokens, word, F.lower("system"), F.lower("etymology"))})

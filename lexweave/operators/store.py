@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,54 +49,105 @@ def insert_edges(existing: DataFrame | None, new: DataFrame, seq: str = "ingest_
     return _survivors(rows, ["src", "rel", "dst"], "__seq", last=False).drop("__seq")
 
 
+COMPACT = 16  # batches after which a table is rewritten
+
+
 class Store:
-    """The two tables as Parquet under one path, with additive migration on read and replacement on write."""
+    """The two tables as Parquet under one path, with additive migration on read.
+
+    A write adds a batch: its own survivors, nothing else is touched. A read folds the base and its batches; after ``COMPACT`` batches
+    the next write makes a new base of them. The base before stays for readers that have begun, older ones go.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _read(self, name: str, schema) -> DataFrame | None:
-        try:
-            return conform(self.spark.read.parquet(f"{self.path}/{self._current(name)}"), schema)
-        except Exception as why:
-            if "PATH_NOT_FOUND" in str(why) or "UNABLE_TO_INFER" in str(why):
-                return None
-            raise
-
-    def _current(self, name: str) -> str:
-        """The newest version of a table: versions are folders, so that a write never touches what is being read."""
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(fs_path):
-            return f"{name}-0"
-        found = [s.getPath().getName() for s in fs.listStatus(fs_path)]
-        done = [int(x.rpartition("-")[2]) for x in found if x.startswith(f"{name}-") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{x}/_SUCCESS"))]
-        return f"{name}-{max(done, default=0)}"
+    def _fs(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _written(self, name: str) -> list[tuple[int, int]]:
+        """(base, batch) of all that has been written whole, in order."""
+        fs, path = self._fs()
+        found = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+        whole = [x.split("-") for x in found if x.startswith(f"{name}-") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{x}/_SUCCESS"))]
+        return sorted((int(base), int(batch)) for _, base, batch in whole)
+
+    def _parts(self, name: str) -> tuple[int, list[int]]:
+        """(newest base, its batches); the base's own number is 0 among them."""
+        parts = self._written(name)
+        base = max((b for b, batch in parts if batch == 0), default=0)
+        return base, [batch for b, batch in parts if b == base]
+
+    def _read(self, name: str, schema: T.StructType, keys: list[str], last: bool) -> DataFrame | None:
+        base, batches = self._parts(name)
+        if not batches:
+            return None
+        kept = [_numbered(self.spark.read.parquet(f"{self.path}/{name}-{base}-{k}"), schema, F.lit(0).cast("long"), k) for k in batches]
+        if len(kept) == 1:
+            return kept[0].drop("__seq")
+        rows = kept[0]
+        for more in kept[1:]:
+            rows = rows.unionByName(more)
+        return _survivors(rows, keys, "__seq", last).drop("__seq")
+
+    def _words(self) -> DataFrame | None:
+        return self._read("words", LEXICON, ["id"], True)
+
+    def _edges(self) -> DataFrame | None:
+        return self._read("edges", EDGES, ["src", "rel", "dst"], False)
 
     def words(self) -> DataFrame:
-        found = self._read("words", LEXICON)
+        found = self._words()
         return self.spark.createDataFrame([], LEXICON) if found is None else found
 
     def edges(self) -> DataFrame:
-        found = self._read("edges", EDGES)
+        found = self._edges()
         return self.spark.createDataFrame([], EDGES) if found is None else found
 
-    def _write(self, name: str, df: DataFrame) -> None:
-        version = int(self._current(name).rpartition("-")[2]) + 1
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}-{version}")
+    def _add(self, name: str, batch: DataFrame, read: Callable[[], DataFrame | None]) -> None:
+        base, batches = self._parts(name)
+        batch.write.mode("overwrite").parquet(f"{self.path}/{name}-{base}-{max(batches, default=-1) + 1}")
+        if len(batches) >= COMPACT:
+            self.compact(name, read)
+
+    def compact(self, name: str, read: Callable[[], DataFrame | None]) -> None:
+        """Make one base of a base and its batches."""
+        base, batches = self._parts(name)
+        if len(batches) > 1:
+            read().write.mode("overwrite").parquet(f"{self.path}/{name}-{base + 1}-0")
+            fs, path = self._fs()
+            for s in fs.listStatus(path):
+                kind, of, _ = s.getPath().getName().split("-")
+                if kind == name and int(of) < base:
+                    fs.delete(s.getPath(), True)
 
     def insert_words(self, new: DataFrame, seq: str = "ingest_seq") -> None:
-        self._write("words", upsert_words(self._read("words", LEXICON), new, seq))
+        self._add("words", upsert_words(None, new, seq), self._words)
 
     def insert_edges(self, new: DataFrame, seq: str = "ingest_seq") -> None:
-        self._write("edges", insert_edges(self._read("edges", EDGES), new, seq))
+        self._add("edges", insert_edges(None, new, seq), self._edges)
+
+    def index_words(self) -> None:
+        """Store the postings of the words as they stand, in order of tokens, so that a query reads those of its concepts only."""
+        from .rank import postings
+
+        base, batches = self._parts("words")
+        if batches:
+            postings(self.words()).repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{self.path}/postings-{base}-{max(batches)}")
+
+    def postings(self) -> DataFrame | None:
+        """The stored postings, if no word was written after them."""
+        base, batches = self._parts("words")
+        newest = (base, max(batches, default=0))
+        return self.spark.read.parquet(f"{self.path}/postings-{base}-{newest[1]}") if newest in self._written("postings") else None
 
     def bootstrap(self) -> DataFrame:
         """The words; the seed lexicon first if the store is empty."""
-        if self._read("words", LEXICON) is None:
+        if self._words() is None:
             from ..sources.seed import seed_lexicon
 
-            self._write("words", seed_lexicon(self.spark))
+            self._add("words", seed_lexicon(self.spark), self._words)
         return self.words()
 
 
@@ -125,9 +178,12 @@ def language_summary(lexicon: DataFrame, most: int = 4) -> DataFrame:
     return ordered.select(F.concat(F.array_join(part, " · "), F.when(F.size("x") > most, " · ...").otherwise("")).alias("summary"))
 
 
+def unknown_class(word_class: Column) -> Column:
+    return word_class.isNotNull() & ~word_class.isin(WORD_CLASSES)
+
+
 def import_report(rows: DataFrame) -> DataFrame:
-    unknown = F.col("word_class").isNotNull() & ~F.col("word_class").isin(WORD_CLASSES)
-    return rows.agg(F.count("*").alias("imported"), F.count_if(unknown).alias("unknown_class"))
+    return rows.agg(F.count("*").alias("imported"), F.count_if(unknown_class(F.col("word_class"))).alias("unknown_class"))
 
 
 def pool_of(word_class: Column) -> Column:

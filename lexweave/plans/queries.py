@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import render, text, translit
-from ..operators import concepts, namegen, rank, sinks, store
+from ..operators import namegen, rank, sinks, store
 from ..sources import dictionary
 from ..sources.specs import SourceSpec
 from .adapters import EDG_SQL, LEX_SQL, edges, first_edges, lexicon, stops_sql, table
@@ -24,11 +24,11 @@ GLOSS_SQL = rf"tok AS (SELECT id, t FROM (SELECT DISTINCT id, unnest({TOKENS_SQL
 SINGULAR = "CASE WHEN strlen({0}) > 3 AND ends_with({0}, 's') THEN left({0}, length({0}) - 1) ELSE {0} END"
 
 
-def query(sql: str | None = None, *needs: str) -> Callable[[Query], Query]:
+def query(sql: str | None = None, *needs: str, recursive: bool = False) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLES[f.__name__] = ("WITH " + ",\n".join(needs) + "\n" if needs else "") + sql
+            ORACLES[f.__name__] = (f"WITH {'RECURSIVE ' * recursive}" + ",\n".join(needs) + "\n" if needs else "") + sql
         return f
 
     return add
@@ -215,16 +215,6 @@ def f_clean_gloss(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(text.fold_gloss(F.coalesce("text", F.lit(""))).cast("binary")).alias("gloss"))
 
 
-@query()
-def f_clean_etymology(spark, sf):
-    return lexicon(spark, sf).select("id", text.clean_etymology(F.col("etymology")).alias("etymology"))
-
-
-@query()
-def f_meaning(spark, sf):
-    return lexicon(spark, sf).select("id", render.meaning_of(F.col("tags")).alias("meaning"))
-
-
 @query("SELECT id, list_transform(string_split(registers, ','), lambda x: trim(x)) AS parts FROM lex WHERE registers IS NOT NULL", LEX_SQL)
 def f_split_list(spark, sf):
     return lexicon(spark, sf).where("registers is not null").select("id", text.split_list(F.col("registers")).alias("parts"))
@@ -328,19 +318,6 @@ def ol_top_k(spark, sf):
     return rank.top_k(_ranked(spark, sf), 20).select("id", F.round("score", 6).alias("score"))
 
 
-@query()
-def rt_rank_full(spark, sf):
-    lex = lexicon(spark, sf)
-    found = rank.rank_semantic(lex, "the ering " + QUERY, lex, ("Heation",), first_edges(spark, sf))
-    return found.select("id", F.round("score", 6).alias("score"), F.array_join("matched", "; ").alias("matched"))
-
-
-@query()
-def rt_concepts(spark, sf):
-    made = concepts.build_concepts(spark, "erening " + QUERY, lexicon(spark, sf), ("Heation", "the"), first_edges(spark, sf))
-    return concepts.concept_frame(spark, made)
-
-
 @query()
 def rt_find(spark, sf):
     found = rank.find(lexicon(spark, sf), QUERY, 9, systems=["src1", "src6"], register="archaic", edges=first_edges(spark, sf))

@@ -1,8 +1,33 @@
-"""A local session with the settings that the engine expects; on a cluster, bring your own."""
+"""A local session with the settings that the engine expects (on a cluster, bring your own), and tables in the folder that all executors share."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``. One is made here only for a local session that names none (tests)."""
+    found = spark.sparkContext.getCheckpointDir()
+    if not found:
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            found = tempfile.mkdtemp(prefix="lexweave-")
+        spark.sparkContext.setCheckpointDir(found)
+        found = spark.sparkContext.getCheckpointDir()
+    return found
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once into the shared folder and read back: it is worked out once and survives lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def local_session(cores: int | str = "*", memory: str = "8g", partitions: int = 8) -> SparkSession:

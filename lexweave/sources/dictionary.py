@@ -9,6 +9,7 @@ from ..functions.text import clean_etymology, clean_gloss, fold_gloss, truncate_
 from ..functions.translit import to_latin
 from ..operators.store import insert_edges, upsert_words
 from ..schema import EDGES, LEXICON, conform
+from ..session import stored
 from .specs import SourceSpec
 
 # Parts of speech and their classes; tags of senses that only point elsewhere; registers worth keeping;
@@ -119,14 +120,15 @@ def _entry(v: Column, spec: SourceSpec) -> Column:
 
 
 def parse_lines(lines: DataFrame, spec: SourceSpec, value: str = "value", ordinal: str = "ordinal") -> DataFrame:
-    """(ordinal, valid, accepted, lexicon columns, edges) for every line that isn't blank.
+    """(ordinal, bytes, valid, accepted, lexicon columns, edges) for every line that isn't blank.
 
     A line is parsed once: its variant is a lambda's variable, and the row comes out of a generator, which later filters
     cannot move into.
     """
     at = lines.where(F.col(value).rlike(r"(?U)\S"))
     made = F.transform(F.array(F.try_parse_json(value)), lambda v: _entry(v, spec))
-    return at.select(ordinal, F.explode(made).alias("p")).select(ordinal, "p.*")
+    size = (F.octet_length(value) + 1).cast("long").alias("bytes")  # with the line feed
+    return at.select(ordinal, size, F.explode(made).alias("p")).select(ordinal, "bytes", "p.*")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -188,34 +190,45 @@ def parse_mythology(body: DataFrame, spec: SourceSpec, value: str = "value") ->
 
 
 def fetch(spark: SparkSession, specs: list[SourceSpec], paths: dict[str, str]) -> tuple[DataFrame, DataFrame, list[dict]]:
-    """(words, edges, report): every source parsed, keyed and merged; a source that fails is reported and left out.
+    """(words, edges, report): every source parsed once, keyed and merged; a source that fails is reported and left out.
 
-    ``paths`` says where the file of each source lies.
+    ``paths`` says where the file of each source lies. The report has a row for each source in their order: lines accepted and
+    skipped, edges sent, and bytes read (of lines as they are decoded, up to the last one that was read).
     """
     words, edges, report = [], [], []
     for k, spec in enumerate(specs):
         try:
             if spec.backend == "mythology-json":
-                parsed = parse_mythology(spark.read.text(paths[spec.id], wholetext=True), spec)
+                body = spark.read.text(paths[spec.id], wholetext=True)
+                parsed = stored(parse_mythology(body, spec), f"parsed-{spec.id}")
                 some = parsed.where("accepted").orderBy("ordinal").limit(spec.max_words)
                 found, links = some.withColumn("seq", F.col("ordinal").cast("long")).drop("ordinal", "accepted"), None
                 read = parsed.agg(F.count_if(F.col("accepted")).alias("a"), F.count_if(~F.col("accepted")).alias("s")).first()
-                counts = {"accepted": min(read["a"], spec.max_words), "skipped": read["s"]}
+                size = body.agg(F.sum(F.octet_length("value")).alias("b")).first()["b"]
+                counts = {"accepted": min(read["a"], spec.max_words), "skipped": read["s"], "edges": 0, "bytes": size or 0}
             else:
-                taken = take_accepted(parse_lines(read_lines(spark, paths[spec.id]), spec), spec.max_words)
+                lines = read_lines(spark, paths[spec.id])
+                parsed = stored(parse_lines(lines, spec), f"parsed-{spec.id}")
+                taken = take_accepted(parsed, spec.max_words)
                 found = words_of(taken).withColumn("seq", F.col("ordinal.n")).drop("ordinal")
                 links = edge_rows(taken).withColumn("seq", F.col("ordinal.n")).drop("ordinal", "pos")
-                read = taken.agg(F.count_if(F.col("accepted")).alias("a"), F.count_if(~F.col("accepted")).alias("s")).first()
-                counts = {"accepted": read["a"], "skipped": read["s"]}
+                sent = F.sum(F.when(F.col("accepted"), F.size("edges")).otherwise(0))
+                read = taken.agg(F.count_if(F.col("accepted")).alias("a"), F.count_if(~F.col("accepted")).alias("s"), F.coalesce(sent, F.lit(0)).alias("e"), F.sum("bytes").alias("b")).first()
+                counts = {"accepted": read["a"], "skipped": read["s"], "edges": read["e"], "bytes": read["b"] or 0}
             words.append(found.withColumn("k", F.lit(k)))
             if links is not None:
                 edges.append(links.withColumn("k", F.lit(k)))
             report.append({"source": spec.id, **counts, "error": None})
         except Exception as why:  # one bad source must not stop the others
-            report.append({"source": spec.id, "accepted": 0, "skipped": 0, "error": str(why)[:500]})
+            report.append({"source": spec.id, "accepted": 0, "skipped": 0, "edges": 0, "bytes": 0, "error": str(why)[:500]})
     return merge(spark, words, LEXICON), merge(spark, edges, EDGES), report
 
 
+def totals(report: list[dict]) -> dict[str, int]:
+    """What all sources sent: ``inserted`` words and ``edges``, repeated keys included."""
+    return {"inserted": sum(r["accepted"] for r in report), "edges": sum(r["edges"] for r in report)}
+
+
 def merge(spark: SparkSession, parts: list[DataFrame], schema) -> DataFrame:
     """The union of sources in their order, keyed: words by last write, edges by first."""
     if not parts:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null
-from ..operators.store import word_id
+from ..operators.store import Store, unknown_class, word_id
 from ..schema import LEXICON, conform
 
 #: Columns by position; files carry the first 7, 9 or 11 of them.
@@ -41,6 +41,19 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return _mapped(spark.read.options(**_OPTIONS).schema(_schema(width)).csv(path))
 
 
+def counted(rows: DataFrame) -> tuple[DataFrame, Observation]:
+    """The rows, and what is counted of them in the same read: ``imported`` and ``unknown_class``."""
+    seen = Observation()
+    return rows.observe(seen, F.count(F.lit(1)).alias("imported"), F.count_if(unknown_class(F.col("word_class"))).alias("unknown_class")), seen
+
+
+def import_file(store: Store, path: str) -> dict[str, int]:
+    """Write the rows of a CSV file into the store, later lines over earlier ones, and report the counters of that read."""
+    rows, seen = counted(read(store.spark, path))
+    store.insert_words(rows.withColumn("ingest_seq", F.monotonically_increasing_id()))
+    return dict(seen.get)
+
+
 def read_lines(spark: SparkSession, lines: list[str]) -> DataFrame:
     """The same from lines in memory, the header first."""
     import csv
