@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..session import shared_folder
+
 #: ASCII white space that separates words in the contracts: space, \t \n \v \f \r.
 WORD_SPACE = " \t\n\x0b\x0c\r"
 
@@ -30,20 +30,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. One is made here only for a local session that names none (tests)."""
-    found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = spark.conf.get("spark.checkpoint.dir", None)
-        if not found:
-            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-            found = tempfile.mkdtemp(prefix="lexweave-")
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir()
-    return found
-
-
 @contextlib.contextmanager
 def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
     """Shuffle files of what runs inside go as soon as it has ended, since its result is a table."""
@@ -61,7 +47,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
     def table(self, df: DataFrame, name: str, *folders: str) -> DataFrame:
         """Write ``df`` once, in folders by some columns if they are given, and read it back: cuts lineage and survives lost executors."""
