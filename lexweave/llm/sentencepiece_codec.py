@@ -4,10 +4,13 @@ Normalisation is done here: at each place the longest prefix that the model's co
 array trie) knows is replaced, and every normalised character keeps the byte place it came from. The library
 then only merges pieces over normalised text, and each piece is projected back to a span of original bytes.
 
-Where no piece of the vocabulary has a line feed, or a word mark after another character, merges never cross a line
-end or pass from a word into the mark of the next one, so each run "marks + word" is merged once and kept in a bounded table per worker.
-Otherwise a text is merged as a whole. Decoding is the library's rule, applied per run: marks become spaces,
-runs of byte pieces become UTF-8, the dummy prefix and control pieces vanish.
+Where no piece of the vocabulary has a line feed, or a word mark after another character, and no character is unknown, merges
+never cross a line end or pass from a word into the mark of the next one, so a long text is merged in parts that end there and
+memory follows the part. Otherwise a text is merged as a whole. Decoding is the library's rule: marks become spaces, runs of
+byte pieces become UTF-8, the dummy prefix and control pieces vanish; all pieces of a text are put together at once.
+
+Spans: a piece begins and ends where its first normalised byte and the one after its last came from; the pieces of one
+replaced character share its place, so all but the last are empty; a byte piece has its own byte.
 
 Defined results: a null text is empty, and an empty text has the end id only and decodes to an empty text; white
 space, marks and control characters of a text pass as the model says; whole texts of any length; repeated rows
@@ -19,17 +22,18 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
 MODEL_BYTES = 64 << 20  # a larger model file is refused, since it is broadcast
-RUNS_KEPT = 200_000  # entries of a worker's table of merged runs; it starts afresh beyond
-_RUN = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
+PART = 1 << 14  # characters of a long text that are merged at once, up to the next boundary
+_BOUNDARY = re.compile(f"(?<=[^{MARK}\n])[{MARK}\n]")
 
 
 class CharMap:
@@ -83,65 +87,76 @@ class Codec:
         if proto.trainer_spec.treat_whitespace_as_suffix:
             raise ValueError("models with the word mark as a suffix are not supported")
         kinds = [p.type for p in proto.pieces]
-        self.whole = any(MARK in p.piece.lstrip(MARK) or "\n" in p.piece for p in proto.pieces) or 4 in kinds or proto.trainer_spec.model_type != 2 or not self.escapes
+        self.whole = any(MARK in p.piece.lstrip(MARK) or "\n" in p.piece for p in proto.pieces) or 4 in kinds or proto.trainer_spec.model_type != 2 or not self.escapes or not proto.trainer_spec.byte_fallback
         spec.precompiled_charsmap = b""
         spec.add_dummy_prefix = spec.remove_extra_whitespaces = spec.escape_whitespaces = False
         self.merger = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
-        self.eos = self.merger.eos_id()
+        self.eos, self.unk = self.merger.eos_id(), self.merger.unk_id()
         self.bytes_of = {i: int(p.piece[3:5], 16) for i, p in enumerate(proto.pieces) if p.type == 6}
         self.surface = {i: "" if p.type == 3 else (proto.trainer_spec.unk_surface if p.type == 2 else p.piece.replace(MARK, " ")) for i, p in enumerate(proto.pieces) if p.type != 6}
         self.pieces = [p.piece for p in proto.pieces]
-        self.runs: dict[str, tuple[str, int, str]] = {}
+        self.names = list(map(str, range(len(self.pieces))))
+        self.sizes = np.array([1 if p.type == 6 else len(p.piece.encode()) for p in proto.pieces])
+        said = [bytes([self.bytes_of[i]]) if i in self.bytes_of else self.surface[i].encode() for i in range(len(self.pieces))]
+        self.said, self.said_sizes = np.frombuffer(b"".join(said), np.uint8), np.array([len(x) for x in said])
+        self.said_at = np.cumsum(self.said_sizes) - self.said_sizes
 
     @property
     def plain(self) -> bool:
         """True if normalising only marks spaces and adds the dummy prefix."""
         return not self.map.units and not self.trims and self.escapes
 
-    def normalise(self, text: str) -> tuple[str, list[int]]:
+    def normalise(self, text: str) -> tuple[str, np.ndarray]:
         """Normalised text and, for each of its bytes and its end, the byte of the source it came from."""
         source = text.encode()
-        out, align = bytearray(), []
+        if self.plain:  # every byte stays, but a space becomes a mark of three bytes
+            if not source:
+                return "", np.zeros(1, np.int64)
+            size = np.where(np.frombuffer(source, np.uint8) == 0x20, np.uint8(len(MARK.encode())), np.uint8(1))
+            align = np.repeat(np.arange(len(source)), size)
+            before = len(MARK.encode()) if self.prefix else 0
+            return MARK * self.prefix + text.replace(" ", MARK), np.concatenate((np.zeros(before, np.int64), align, [len(source)]))
         mark = MARK.encode() if self.escapes else b" "
         at = 0
-        blank = True  # nothing but white space so far, or a space just before
-        pending: list[tuple[bytes, int]] = []
-        while at < len(source):
+
+        def longest() -> tuple[int, bytes]:
             found = self.map.longest(source, at)
             if found is None:
                 size = 1 if source[at] < 0x80 else 2 if source[at] < 0xE0 else 3 if source[at] < 0xF0 else 4
-                found = (size, source[at : at + size])
-            size, new = found
-            for c in new.decode():
-                if c == " " and self.trims and blank:
-                    continue
-                pending.append((mark if c == " " else c.encode(), at))
-                blank = c == " "
+                return size, source[at : at + size]
+            return found
+
+        while self.trims and at < len(source) and (found := longest())[1] == b" ":
+            at += found[0]
+        pending: list[tuple[bytes, int]] = [(mark, at)] if self.prefix and at < len(source) else []
+        blank = self.trims  # at the start, or a space just before
+        while at < len(source):
+            size, new = longest()
+            if blank:
+                new = new.lstrip(b" ")
+            pending += [(mark if c == " " else c.encode(), at) for c in new.decode()]
+            blank = self.trims and (new.endswith(b" ") if new else blank)
             at += size
+        end = len(source)
         while self.trims and pending and pending[-1][0] == mark:
-            pending.pop()
-        if pending and self.prefix:
-            pending.insert(0, (mark, pending[0][1]))
+            end = pending.pop()[1]
+        align: list[int] = []
         for piece, where in pending:
-            out += piece
             own = source[where : where + len(piece)] == piece  # bytes that stay as they are keep their own places
             align += range(where, where + len(piece)) if own else [where] * len(piece)
-        align.append(len(source) if not self.trims or not pending else pending[-1][1] + 1)
-        return out.decode(), align
-
-    def _decode_ids(self, ids: list[int]) -> str:
-        out, held = [], bytearray()
-        for i in ids:
-            if (b := self.bytes_of.get(i)) is not None:
-                held.append(b)
-                continue
-            if held:
-                out.append(self._from_bytes(bytes(held)))
-                held.clear()
-            out.append(self.surface[i])
-        if held:
-            out.append(self._from_bytes(bytes(held)))
-        return "".join(out)
+        return b"".join([piece for piece, _ in pending]).decode(), np.array([*align, end])
+
+    def _spelled(self, ids: np.ndarray) -> str:
+        """What pieces say one after the other."""
+        size = self.said_sizes[ids]
+        at = np.repeat(self.said_at[ids] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        some = self.said[at].tobytes()
+        try:
+            return some.decode()
+        except UnicodeDecodeError:  # runs of byte pieces that are no UTF-8
+            is_byte = np.isin(ids, list(self.bytes_of))
+            cut = np.flatnonzero(np.diff(is_byte)) + 1
+            return "".join([self._from_bytes(bytes(self.bytes_of[i] for i in part.tolist())) if part[0] in self.bytes_of else self._spelled(part) for part in np.split(ids, cut)])
 
     @staticmethod
     def _from_bytes(some: bytes) -> str:
@@ -160,65 +175,63 @@ class Codec:
                 at += 1
         return "".join(out)
 
+    def _lead(self, ids: Iterable[int]) -> int:
+        """Spaces at the start of the decoded text that stand for the dummy prefix or for trimmed white space."""
+        n = 0
+        for i in ids if self.prefix or self.trims else ():
+            if i in self.bytes_of or i == self.unk:
+                break
+            if not self.surface[i]:
+                continue  # a control piece
+            n += self.pieces[i].startswith(MARK)
+            if not self.trims or self.pieces[i] != MARK:
+                break
+        return n
+
     def decode(self, ids: list[int]) -> str:
         """Text of ids as the library decodes them."""
-        text = self._decode_ids(ids)
-        first = next((i for i in ids if self.surface.get(i) != ""), None)  # the first piece that isn't a control piece
-        return text[1:] if self.prefix and first in self.surface and self.pieces[first].startswith(MARK) else text
-
-    def _run(self, run: str) -> tuple[str, int, str]:
-        ids = self.merger.encode(run)
-        if len(self.runs) >= RUNS_KEPT:
-            self.runs.clear()
-        found = self.runs[run] = (" ".join(map(str, ids)), len(ids), self._decode_ids(ids))
-        return found
-
-    def _cut(self, normal: str) -> list[str]:
-        return ([normal] if normal else []) if self.whole else _RUN.findall(normal)
-
-    def _runs(self, text: str) -> list[tuple[str, int, str]]:
-        get, make = self.runs.get, self._run
-        if self.plain and not self.whole and self.prefix and MARK not in text and "  " not in text and not text.startswith(" "):
-            runs = []
-            for k, line in enumerate(text.split("\n") if text else ()):
-                first, *rest = line.split(" ")
-                runs += ["\n"] * bool(k) + ([MARK + first] if not k else [first] * bool(first)) + [MARK + w for w in rest]
+        return self._spelled(np.array(ids, np.int64))[self._lead(ids) :]
+
+    def _merge(self, normal: str) -> list[int]:
+        """Ids of a normalised text."""
+        if self.whole or len(normal) <= PART:
+            return self.merger.encode(normal) if normal else []
+        ids, at = [], 0
+        while at < len(normal):
+            cut = _BOUNDARY.search(normal, at + PART)
+            to = cut.start() if cut else len(normal)
+            ids += self.merger.encode(normal[at:to])
+            at = to
+        return ids
+
+    def _encoded(self, text: str) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """Ids, and the span [begin, end) of source bytes of every piece, the end id's included."""
+        normal, align = self.normalise(text)
+        ids = self._merge(normal)
+        if not self.bytes_of and self.unk in ids:  # a row of unknown characters is one piece
+            sizes = np.array([len(p.surface.encode()) for p in self.merger.encode(normal, return_type="proto").pieces])
         else:
-            runs = self._cut(self.normalise(text)[0])
-        return [get(r) or make(r) for r in runs]
-
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """(number of ids with the end id, SHA-256 of the ids, SHA-256 of the decoded text)."""
-        runs = self._runs(text)
-        ids = " ".join([r[0] for r in runs])
-        n = sum([r[1] for r in runs])
-        decoded = "".join([r[2] for r in runs])
-        if self.prefix and decoded.startswith(" "):
-            decoded = decoded[1:]
+            sizes = self.sizes[np.array(ids, np.int64)]
+        to = np.cumsum(sizes)
+        if len(align) - 1 != (to[-1] if len(to) else 0):
+            raise ValueError("the pieces do not cover the normalised text")
+        ends = np.append(align[to], len(text.encode()))
+        begins = np.concatenate((align[:1], ends[:-1])) if len(to) else ends.copy()
+        begins[-1] = ends[-1]
+        return [*ids, self.eos], begins, ends
+
+    def digest(self, text: str) -> tuple[int, str, str, str]:
+        """(number of ids with the end id, SHA-256 of the ids, of the decoded text, and of the spans as pairs of 32-bit numbers)."""
+        ids, begins, ends = self._encoded(text)
         sha = hashlib.sha256
-        return n + 1, sha((f"{ids} {self.eos}" if ids else str(self.eos)).encode()).hexdigest(), sha(decoded.encode()).hexdigest()
+        spans = np.empty((len(ends), 2), "<u4")
+        spans[:, 0], spans[:, 1] = begins, ends
+        return len(ids), sha(" ".join([self.names[i] for i in ids]).encode()).hexdigest(), sha(self.decode(ids).encode()).hexdigest(), sha(spans).hexdigest()
 
     def encode(self, text: str) -> tuple[list[int], list[int], list[int], list[str]]:
         """Ids with the end id, byte spans [begin, end) of the source for each, and the pieces."""
-        normal, align = self.normalise(text)
-        ids: list[int] = []
-        for run in self._cut(normal):
-            ids += map(int, (self.runs.get(run) or self._run(run))[0].split())
-        begins, ends, pieces, at = [], [], [], 0
-        raw = normal.encode()
-        for i in ids:
-            if i in self.bytes_of:
-                size = 1
-            elif i == self.merger.unk_id():
-                size = 1 if raw[at] < 0x80 else 2 if raw[at] < 0xE0 else 3 if raw[at] < 0xF0 else 4
-            else:
-                size = len(self.pieces[i].encode())
-            begins.append(align[at])
-            at += size
-            ends.append(align[at])
-            pieces.append(self.pieces[i])
-        end = len(text.encode())
-        return [*ids, self.eos], [*begins, end], [*ends, end], [*pieces, self.pieces[self.eos]]
+        ids, begins, ends = self._encoded(text)
+        return ids, begins.tolist(), ends.tolist(), [self.pieces[i] for i in ids]
 
 
 def read_model(path: str) -> bytes:
@@ -275,5 +288,5 @@ def decode(df: DataFrame, model_path: str, ids_col: str = "ids", keep: tuple[str
 
 
 def digests(df: DataFrame, model_path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(*keep, n_tokens, ids_sha256, decoded_sha256): encode and decode in one pass, keeping digests only."""
-    return _apply(df, model_path, text_col, keep, "n_tokens long, ids_sha256 string, decoded_sha256 string", Codec.digest)
+    """(*keep, n_tokens, ids_sha256, decoded_sha256, spans_sha256): encode with spans and decode in one pass, keeping digests only."""
+    return _apply(df, model_path, text_col, keep, "n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string", Codec.digest)
