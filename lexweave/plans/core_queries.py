@@ -157,6 +157,14 @@ def f_explain(spark, sf):
     return table(spark, sf, "part").select("p_partkey", made.alias("line"))
 
 
+@query(
+    rf"SELECT doc_id, md5(string_agg(t, ' ' ORDER BY pos)) AS tokens FROM (SELECT doc_id, t, min(pos) AS pos FROM (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, {TOKENS_SQL.format('text')} AS w FROM documents)) GROUP BY 1, 2) GROUP BY 1"
+)
+def f_token_order(spark, sf):
+    tokens = text.tokenize(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(F.array_join(tokens, " ").cast("binary")).alias("tokens"), F.size(tokens).alias("n")).where("n > 0").drop("n")
+
+
 # Latin letters to letters of another script, so that the given words become Greek and Hebrew ones.
 _GREEK = ("abgdezhjiklmnxoprstyfcqw", "αβγδεζηθικλμνξοπρστυφχψω")
 _HEBREW = ("abgdhwzxtyklmnsvpcqr", "אבגדהוזחטיכלמנסעפצקר")

@@ -451,7 +451,13 @@ def gn_default(spark, sf):
 
 @query()
 def gn_template(spark, sf):
-    return namegen.generate(lexicon(spark, sf).where("system = 'src1'"), 20, 42, "{prefix} {word} of the {suffix_adj} {suffix}")
+    return namegen.generate(lexicon(spark, sf), 20, 42, "{prefix} {word} of the {suffix_adj} {suffix}")
+
+
+@query()
+def gn_system(spark, sf):
+    """The filter by system is the feature."""
+    return namegen.generate(store.in_systems(lexicon(spark, sf), ["src1"]), 3, 42)
 
 
 @query()
