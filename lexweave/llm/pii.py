@@ -298,6 +298,15 @@ def surrogate(entity: Column, key: Column) -> Column:
     )
 
 
+def is_entity(e: Column) -> Column:
+    """False for a number in the form of a card whose check digit is wrong: no card has it."""
+
+    def checks(d: Column) -> Column:
+        return _luhn(d.substr(F.lit(1), F.length(d) - 1)) == F.right(d, F.lit(1)).cast("int")
+
+    return F.when(e.rlike(f"^(?:{PATTERNS['card']})$"), let(_only_digits(e), checks)).otherwise(True)
+
+
 def found_in(text: Column) -> Column:
     """Entities of a text in order."""
     return F.when(text.rlike(MAYBE), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
@@ -337,20 +346,26 @@ def _unnamed(piece: Column, mentions: Column) -> Column:
     return F.aggregate(mentions, piece, lambda t, p: F.regexp_replace(t, F.concat(F.lit(r"(?<![\p{L}\p{N}])"), p["said"], F.lit(r"(?![\p{L}\p{N}])")), p["s"]))
 
 
-def replace(df: DataFrame, text_col: str = "text", key: str | None = None) -> DataFrame:
-    """``df`` with surrogates in ``text_col`` and the number of entities in ``n_entities``; without ``key`` the session's is used."""
+def replace(df: DataFrame, text_col: str = "text", key: str | None = None, check_digits: bool = False) -> DataFrame:
+    """``df`` with surrogates in ``text_col`` and the number of entities in ``n_entities``; without ``key`` the session's is used.
+
+    With ``check_digits`` numbers of 13 to 19 digits are cards only if their check digit is right, and stay as they are otherwise.
+    """
     key = session_key(df.sparkSession) if key is None else key
     used = F.lit(f"{key}#{collision_free_round(df, text_col, key)}")
     text = F.col(text_col)
     at = df.withColumn("__found", F.coalesce(found_in(text), F.array().cast("array<string>")))
 
+    changes = (lambda e: F.when(is_entity(e), surrogate(e, used)).otherwise(e)) if check_digits else (lambda e: surrogate(e, used))
+
     def put(found: Column) -> Column:
         def joined(mentions: Column) -> Column:
             between = F.split(text, ANY, -1)
             said = lambda p: F.when(F.size(mentions) > 0, _unnamed(p, mentions)).otherwise(p)
-            return F.array_join(F.transform(between, lambda p, i: F.concat(said(p), F.when(i < F.size(found), surrogate(F.get(found, i), used)).otherwise(""))), "")
+            return F.array_join(F.transform(between, lambda p, i: F.concat(said(p), F.when(i < F.size(found), let(F.get(found, i), changes)).otherwise(""))), "")
 
         return let(_mentions(found, used), joined)
 
     changed = F.when(F.size("__found") == 0, text).otherwise(put(F.col("__found")))
-    return at.withColumns({text_col: changed, "n_entities": F.size("__found").cast("long")}).drop("__found")
+    n = F.size(F.filter("__found", is_entity)) if check_digits else F.size("__found")
+    return at.withColumns({text_col: changed, "n_entities": n.cast("long")}).drop("__found")

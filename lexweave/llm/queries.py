@@ -65,7 +65,7 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), check_digits=True)
 
 
 def op5_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:

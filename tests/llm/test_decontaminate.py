@@ -66,3 +66,14 @@ def test_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contamination(docs, none).first()["n_hit"] == 0
     assert decontaminate.contamination(docs.limit(0), none).count() == 0
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(6)
+    text = ["w%d" % rng.randrange(5000) for _ in range(300_000)]
+    items = [(1, " ".join(text[150_000:150_040])), (2, " ".join(text[-10:])), (3, "not there at all but long enough to be one window of words"), (4, text[7] + " " + text[8])]
+    docs = [(1, " ".join(text)), (2, "x " * 200_000)]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for block in (1 << 20, 60):
+        got = decontaminate.contamination(frame, bench, block_bytes=block).collect()
+        assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], sorted(r["items"])) for r in got), key=str) == brute(docs, items)

@@ -121,6 +121,19 @@ def test_bare_mentions_of_found_names(spark):
     assert jane[1].split("-")[0] == jane[3].split("-")[0] and jane[1] != jane[3] and f"{jane[0]} {jane[1]}, Jane." in new
 
 
+def test_numbers_with_a_wrong_check_digit_may_stay(spark):
+    right, wrong = "4111 1111 1111 1111", "9807915762804490"
+    df = spark.createDataFrame([(1, f"a {right} b {wrong} c ann@x.com", "c"), (2, f"only {wrong}", "c")], SCHEMA)
+    got = {r["doc_id"]: r for r in pii.replace(df, key="k", check_digits=True).collect()}
+    assert right not in got[1]["text"] and f" b {wrong} c " in got[1]["text"] and got[1]["n_entities"] == 2
+    assert got[2]["text"] == f"only {wrong}" and got[2]["n_entities"] == 0
+    assert all(wrong not in r["text"] for r in pii.replace(df, key="k").collect())
+    rng = random.Random(5)
+    some = spark.createDataFrame([(str(rng.randrange(10**12, 10**19)),) for _ in range(500)], "e string")
+    for r in some.select("e", pii.is_entity(F.col("e")).alias("x")).collect():
+        assert r["x"] == (luhn(r["e"]) == 0)
+
+
 def test_key_comes_from_the_session(spark):
     df = spark.createDataFrame([(1, "ann@x.com", "c")], SCHEMA)
     spark.conf.unset(pii.KEY)

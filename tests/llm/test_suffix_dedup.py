@@ -87,3 +87,24 @@ def test_radix_groups_are_the_repeated_windows():
 
 def test_empty(spark):
     assert suffix_dedup.deduplicate(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_very_long_text_through_the_frame(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    long = " ".join(rng.choice(words) for _ in range(110_000))  # over one piece of the scan
+    assert len(long) > suffix_dedup.PIECE
+    rows = [(3, long[400_000:400_900] + " new end"), (1, long + " and again " + long[523_000:526_000]), (2, "start " + long[-300:])]
+    got = suffix_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r[0], r[1], r[2], len(r[3]), r[4]) for r in got), key=str) == brute(rows, 100)
+
+
+def test_one_hot_passage_in_many_texts(spark):
+    """A passage and a common phrase that most texts share: each byte is removed once, with any size of a group."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(2, 8)))
+    passage, phrase = " ".join(word() for _ in range(45)), "a phrase of fifty bytes that stands in most texts here"
+    rows = [(i, " ".join([*(word() for _ in range(20)), phrase, *(word() for _ in range(20)), passage if i % 3 else "", word()])) for i in range(240)]
+    for crowd in (20_000, 5):
+        got = suffix_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), crowd=crowd).collect()
+        assert sorted(((r[0], r[1], r[2], len(r[3]), r[4]) for r in got), key=str) == brute(rows, 100)
