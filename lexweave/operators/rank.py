@@ -124,7 +124,7 @@ def score_records(lexicon: DataFrame, tokens: list[str], concepts: list[Concept]
 
     word, latin = F.lower("word"), fold_diacritics(F.lower("translit"))
     at = lexicon.withColumns({"__word": word, "__latin": latin, "__direct": _direct(tokens, word, F.lower("system"), F.lower("etymology"))})
-    echo = _any([(F.col("__word") == t) | F.coalesce(F.col("__latin") == t, F.lit(False)) for t in tokens])
+    echo = is_echo(tokens, F.col("__word"), F.col("__latin"))
     near = _any([F.contains("__word", F.lit(t)) for t in tokens if len(t.encode()) >= COMPOUND_BYTES])
     if not allow_echo:
         at = at.where(~echo)
@@ -151,6 +151,11 @@ def score_records(lexicon: DataFrame, tokens: list[str], concepts: list[Concept]
     return at.select(*lexicon.columns, score.alias("score"), matched.alias("matched")).where("score > 0")
 
 
+def is_echo(tokens: list[str], word: Column, latin: Column) -> Column:
+    """A word that the description itself names, in its own or in Latin letters; both come in lower case."""
+    return _any([(word == t) | F.coalesce(latin == t, F.lit(False)) for t in tokens])
+
+
 def ordered(matches: DataFrame) -> DataFrame:
     return matches.orderBy(F.desc("score"), F.desc("seed_weight"), F.asc("word"), F.asc("id"))
 

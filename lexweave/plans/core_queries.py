@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import render, text, translit
-from ..operators import concepts, rank
+from ..operators import concepts, rank, sinks
 from ..session import shared_folder
 from ..sources import dictionary, lexicon_csv
 from ..sources.specs import SourceSpec
@@ -97,13 +97,39 @@ def rt_rank_full(spark, sf):
 _FOUND = "system IN ('src1', 'src6') AND contains(registers, 'archaic')"
 
 
+_REASON = "word || ' — ' || array_to_string([etymology, 'System: ' || system, 'Spur: ' || array_to_string(matched, ', ')], ' · ')"
+_TOP = "ORDER BY score DESC, seed_weight DESC, word, id LIMIT"
+
+
+@query(f"SELECT id, score, {_REASON} AS explanation, 'lokal' AS mode FROM ranked {_TOP} 9", LEX_SQL, EDG_SQL, concepts_sql(QUERY.split(), []), rank_sql(QUERY.split(), [], _FOUND), recursive=True)
+def rt_find(spark, sf):
+    found = rank.find(lexicon(spark, sf), QUERY, 9, systems=["src1", "src6"], register="archaic", edges=first_edges(spark, sf))
+    return rank.explained(found).select("id", F.round("score", 6).alias("score"), "explanation", "mode")
+
+
+@query(f"SELECT via, n::INT AS n, term FROM (SELECT via, term, row_number() OVER (PARTITION BY via ORDER BY id, pos) AS n FROM met) WHERE n <= {concepts.BRIDGE_PER_TOKEN}", LEX_SQL, EDG_SQL, concepts_sql(["the", *QUERY.split()], []), recursive=True)
+def jn_bridge_first(spark, sf):
+    """The first gloss tokens of the words that each token names."""
+    found = concepts._bridge_rows(lexicon(spark, sf), ["the", *QUERY.split()], concepts.BRIDGE_PER_TOKEN)
+    rows = [(via, k + 1, term) for via, terms in found.items() for k, term in enumerate(terms)]
+    return spark.createDataFrame(rows, "via string, n int, term string")
+
+
+_MEANING = r"""list_filter(list_transform(string_split(tags, ','), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"""
+_FITS = "array_to_string(p[1:(list_max(list_filter(range(1, least(len(p), 40) + 1), lambda i: i = 1 OR length(array_to_string(p[1:i], '; ')) <= 64)))::BIGINT], '; ')"
+_SHORT = lambda value, most: f"CASE WHEN length({value}) <= {most} THEN {value} ELSE left({value}, {most - 1}) || '…' END"
+
+
 @query(
-    "SELECT id, score, md5(word || ' — ' || array_to_string([etymology, 'System: ' || system, 'Spur: ' || array_to_string(matched, ', ')], ' · ')) AS explanation, 'lokal' AS mode FROM ranked ORDER BY score DESC, seed_weight DESC, word, id LIMIT 9",
-    LEX_SQL, EDG_SQL, concepts_sql(QUERY.split(), []), rank_sql(QUERY.split(), [], _FOUND), recursive=True,
+    f"SELECT {_REASON} AS value FROM top UNION ALL SELECT word || coalesce(' — ' || {_SHORT('m', 64)}, '') || '  [' || language || ' · ' || system || coalesce(' · ' || replace(registers, ',', ' · '), '') || ']' || chr(10) || "
+    f"'  Spur..: ' || array_to_string(u[1:4], ' · ') || CASE WHEN len(u) > 4 THEN ' · +' || (len(u) - 4) ELSE '' END || chr(10) || '  Wurzel: ' || {_SHORT('etymology', 110)} || chr(10) "
+    "FROM (SELECT *, list_filter(matched, lambda x, i: list_position(matched, x) = i) AS u, CASE WHEN len(p) > 0 THEN fits END AS m FROM (SELECT *, " + _FITS + " AS fits FROM (SELECT *, " + _MEANING + " AS p FROM top)))",
+    LEX_SQL, GLOSS_SQL, "concept AS (SELECT i AS k, token AS term, 1.0::DOUBLE AS weight, 'token' AS kind, NULL::VARCHAR AS via, NULL::VARCHAR AS rel FROM (SELECT unnest([" + ", ".join(f"'{t}'" for t in QUERY.split()) + f"]) AS token, unnest(range(1, {len(QUERY.split()) + 1})) AS i))",
+    rank_sql(QUERY.split(), []), f"top AS (SELECT * FROM ranked {_TOP} 20)", recursive=True,
 )
-def rt_find_explained(spark, sf):
-    found = rank.find(lexicon(spark, sf), QUERY, 9, systems=["src1", "src6"], register="archaic", edges=first_edges(spark, sf))
-    return rank.explained(found).select("id", F.round("score", 6).alias("score"), F.md5(F.col("explanation").cast("binary")).alias("explanation"), "mode")
+def sk_text(spark, sf):
+    found = rank.top_k(rank.rank_semantic(lexicon(spark, sf), QUERY), 20)
+    return sinks.text_lines(found, with_reason=True).unionByName(sinks.rich_blocks(found, show_root=True))
 
 
 # glosses, display forms, transliteration

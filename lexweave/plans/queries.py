@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import render, text, translit
 from ..operators import namegen, rank, sinks, store
+from ..schema import LEXICON
 from ..sources import dictionary
 from ..sources.specs import SourceSpec
 from .adapters import EDG_SQL, LEX_SQL, edges, first_edges, lexicon, stops_sql, table
@@ -239,9 +240,9 @@ def jn_edges_from(spark, sf):
 
 @query(f"SELECT id, word FROM lex WHERE word NOT IN ({_QUERY_TOKENS}, 'the', 'the', 'les')", LEX_SQL)
 def jn_anti_echo(spark, sf):
-    echo = lexicon(spark, sf).sparkSession.createDataFrame([(t,) for t in [*QUERY.split(), "the", "les"]], "token string")
     at = lexicon(spark, sf)
-    return at.join(F.broadcast(echo), F.lower("word") == F.col("token"), "left_anti").select("id", "word")
+    latin = translit.fold_diacritics(F.lower("translit"))
+    return at.where(~rank.is_echo([*QUERY.split(), "the", "les"], F.lower("word"), latin)).select("id", "word")
 
 
 @query(
@@ -318,12 +319,6 @@ def ol_top_k(spark, sf):
     return rank.top_k(_ranked(spark, sf), 20).select("id", F.round("score", 6).alias("score"))
 
 
-@query()
-def rt_find(spark, sf):
-    found = rank.find(lexicon(spark, sf), QUERY, 9, systems=["src1", "src6"], register="archaic", edges=first_edges(spark, sf))
-    return rank.explained(found).select("id", F.round("score", 6).alias("score"), "explanation", "mode")
-
-
 @query()
 def rt_no_hit(spark, sf):
     return rank.no_hit(lexicon(spark, sf), "theon ereti")
@@ -349,9 +344,9 @@ def sk_edges_first(spark, sf):
 
 @query("SELECT word, count(*) AS n FROM (SELECT word FROM lex WHERE system = 'src1' UNION ALL SELECT word FROM lex WHERE system = 'src2') GROUP BY 1", LEX_SQL)
 def st_union_sources(spark, sf):
-    lex = lexicon(spark, sf)
-    both = lex.where("system = 'src1'").unionByName(lex.where("system = 'src2'"))
-    return both.groupBy("word").agg(F.count("*").alias("n"))
+    lex = lexicon(spark, sf).withColumn("seq", F.substring_index("id", "_", -1).cast("long"))
+    parts = [store.in_systems(lex, [name]).withColumn("k", F.lit(k)) for k, name in enumerate(("src1", "src2"))]
+    return dictionary.merge(spark, parts, LEXICON).groupBy("word").agg(F.count("*").alias("n"))
 
 
 @query()
@@ -359,12 +354,6 @@ def sk_json(spark, sf):
     return sinks.json_lines(rank.top_k(_ranked(spark, sf), 20))
 
 
-@query()
-def sk_text(spark, sf):
-    found = rank.top_k(_ranked(spark, sf), 20)
-    return sinks.text_lines(found, with_reason=True).unionByName(sinks.rich_blocks(found, show_root=True))
-
-
 # sources
 
 
