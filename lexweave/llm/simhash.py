@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialise, shuffle_partitions
+from .common import Scratch, as_bytes, shuffle_partitions
 
 LEAF, UPPER = 16, 8  # members of a leaf node, leaf nodes of an upper node
 TILE = 1024  # members of a root that are compared within one cell; larger roots are tiled
@@ -227,24 +227,27 @@ def links(nodes: DataFrame, max_distance: int = 4, n_nodes: int | None = None, t
     return cells.mapInArrow(_cell_links(max_distance), "a long, b long")
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame | None:
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame | None:
     """(node, root) for every node of ``edges`` (a, b) that is not its own root; None without edges.
 
     Each round points every node at its smallest neighbour, jumps pointers once and contracts, so stars
     and chains of stars end in a few rounds.
     """
-    at = materialise(edges.where("a <> b").distinct(), f"{name}-edges")
+    scratch = scratch or Scratch(edges.sparkSession, "components")
+    at = scratch.table(edges.where("a <> b").distinct(), "edges-0")
     rounds: list[DataFrame] = []
     while not at.isEmpty():
+        k = len(rounds)
         both = at.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(at.select(F.col("b").alias("node"), F.col("a").alias("to")))
         parent = both.groupBy("node").agg(F.least(F.col("node"), F.min("to")).alias("up"))
-        parent = materialise(parent.where("up <> node"), f"{name}-up")
+        parent = scratch.table(parent.where("up <> node"), f"up-{k}")
         jump = parent.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        point = materialise(parent.join(jump, "up", "left").select("node", F.coalesce("top", "up").alias("root")), f"{name}-root")
+        point = scratch.table(parent.join(jump, "up", "left").select("node", F.coalesce("top", "up").alias("root")), f"root-{k}")
         rounds.append(point)
         for side in ("a", "b"):
             at = at.join(point.withColumnRenamed("node", side), side, "left").withColumn(side, F.coalesce("root", side)).drop("root")
-        at = materialise(at.where("a <> b").distinct(), f"{name}-edges")
+        at = scratch.table(at.where("a <> b").distinct(), f"edges-{k + 1}")
+        scratch.drop(f"up-{k}", f"edges-{k}")
     if not rounds:
         return None
     found = rounds[0]
@@ -252,19 +255,23 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame | None:
         step = later.select(F.col("node").alias("root"), F.col("root").alias("next"))
         found = found.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
         found = found.unionByName(later)
-    return found.groupBy("node").agg(F.min("root").alias("root")) if len(rounds) > 1 else found
+    found = scratch.table(found.groupBy("node").agg(F.min("root").alias("root")), "roots")
+    scratch.drop(*(f"root-{k}" for k in range(len(rounds))))
+    return found
 
 
 def grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = 4, shingle: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, *keep, fp, root, component_id) for every row: ``root`` is a fingerprint that names the component."""
-    prints = materialise(add_fingerprint(df, id_col, text_col, shingle, keep=keep), "simhash-prints")
-    nodes = materialise(prints.groupBy("fp").agg(F.min("id").alias("least")), "simhash-nodes")
-    root_of = components(links(nodes.select("fp"), max_distance), "simhash")
+    scratch = Scratch(df.sparkSession, "simhash")
+    prints = scratch.table(add_fingerprint(df, id_col, text_col, shingle, keep=keep), "prints")
+    nodes = scratch.table(prints.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
+    root_of = components(links(nodes.select("fp"), max_distance), scratch)
     if root_of is not None:
         rooted = nodes.join(root_of.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        rooted = materialise(rooted, "simhash-rooted")
-        best = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-best")  # a table, so that the join can split a large component
-        nodes = materialise(rooted.join(best, "root").select("fp", "root", "component_id"), "simhash-component")
+        rooted = scratch.table(rooted, "rooted")
+        best = scratch.table(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "best")  # a table, so that the join can split a large component
+        nodes = scratch.table(rooted.join(best, "root").select("fp", "root", "component_id"), "component")
+        scratch.drop("nodes", "roots", "rooted", "best")
     else:
         nodes = nodes.select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
     return prints.join(nodes, "fp")
