@@ -215,12 +215,8 @@ def _shuffled(value: Column, key: Column, kind: str, classes: tuple[str, ...]) -
     def stream(i: Column, other: Column, n: Column) -> Column:
         return F.array_join(F.transform(F.sequence(F.lit(0), F.floor(n / 32).cast("int")), lambda b: F.sha2(F.concat_ws("|", key, F.lit(kind), i.cast("string"), b.cast("string"), other), 256)), "")
 
-    def step(s: Column, i: Column) -> Column:
-        even = i % 2 == 0
-        return F.struct(
-            F.when(even, _moved(s["a"], stream(i, s["b"], F.length(s["a"])), classes)).otherwise(s["a"]).alias("a"),
-            F.when(even, s["b"]).otherwise(_moved(s["b"], stream(i, s["a"], F.length(s["b"])), classes)).alias("b"),
-        )
+    def step(s: Column, i: Column) -> Column:  # one side moves by the other, then they change places; after an even number they are back
+        return F.struct(s["b"].alias("a"), _moved(s["a"], stream(i, s["b"], F.length(s["a"])), classes).alias("b"))
 
     half = F.floor(F.length(value) / 2).cast("int")
     start = F.struct(F.substring(value, F.lit(1), half).alias("a"), F.substring(value, half + 1, F.length(value)).alias("b"))
@@ -335,11 +331,14 @@ def session_key(spark: SparkSession) -> str:
 
 def _mentions(found: Column, key: Column) -> Column:
     """(said, surrogate) of the bare mentions that the names found give away: full names first, then each surname's first person."""
-    names = F.array_distinct(F.filter(found, lambda e: kind_of(e) == "name"))
-    people = F.transform(names, lambda e: let(_person(surrogate(e, key)), lambda s: F.struct(_person(e).alias("said"), s.alias("s"))))
-    whole = F.filter(people, lambda p: p["said"].contains(" "))
-    last = F.transform(people, lambda p: F.struct(_surname(p["said"]).alias("said"), _surname(p["s"]).alias("s")))
-    return F.concat(whole, F.filter(last, lambda p: F.length(p["said"]) > 2))
+    names = F.array_distinct(F.filter(found, lambda e: e.rlike(f"^(?:{PATTERNS['name']})$")))
+    people = F.transform(names, lambda e: F.struct(_person(e).alias("said"), _person(_name(e, key)).alias("s")))
+
+    def listed(people: Column) -> Column:
+        last = F.transform(people, lambda p: F.struct(_surname(p["said"]).alias("said"), _surname(p["s"]).alias("s")))
+        return F.concat(F.filter(people, lambda p: p["said"].contains(" ")), F.filter(last, lambda p: F.length(p["said"]) > 2))
+
+    return let(people, listed)
 
 
 def _unnamed(piece: Column, mentions: Column) -> Column:
