@@ -5,15 +5,22 @@ The oracles fold in SQL what the engine folds in columns: concepts and evidence
 
 from __future__ import annotations
 
+import csv
+import os
+import tempfile
+import uuid
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..functions import render, text, translit
 from ..operators import concepts, rank, sinks
 from ..session import shared_folder
-from ..sources import dictionary, lexicon_csv
+from ..sources import dictionary, lexicon_csv, specs
+from ..sources.seed import SEED, seed_lexicon
 from ..sources.specs import SourceSpec
 from .adapters import EDG_SQL, LEX_SQL, first_edges, lexicon, stops_sql, table
-from .queries import GLOSS_SQL, NOISE, QUERY, SINGULAR, TOKENS_SQL, query
+from .queries import GLOSS_SQL, JSON_SQL, NOISE, QUERY, SINGULAR, SPEC, TOKENS_SQL, json_lines, query
 
 # the full lookup
 
@@ -298,8 +305,8 @@ def _csv(spark, sf, width: int) -> str:
         "translit": F.concat("p_name", F.lit("! ")),
         "registers": F.lit("poetic, dated"),
     }
-    path = f"{shared_folder(spark)}/csv-{width}"
-    table(spark, sf, "part").select(*[c.alias(f"column {k}") for k, c in enumerate(list(cells.values())[:width])]).write.mode("overwrite").options(header="true", quote='"', escape='"', ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
+    path = f"{shared_folder(spark)}/csv-{width}-{uuid.uuid4().hex}"
+    table(spark, sf, "part").select(*[c.alias(f"column {k}") for k, c in enumerate(list(cells.values())[:width])]).write.options(header="true", quote='"', escape='"', ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
     return path
 
 
@@ -317,10 +324,80 @@ def sc_csv(spark, sf):
 @query("SELECT 9 AS width, count(*) AS imported, count(*) FILTER (word_class = 'odd') AS unknown_class, count(DISTINCT coalesce(language || '_', '') || word) AS stored FROM made", _CSV_SQL)
 def sc_csv_import(spark, sf):
     """The counters are those of the read that writes the store."""
-    import uuid
-
     from ..operators.store import Store
 
     store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
     report = lexicon_csv.import_file(store, _csv(spark, sf, 9))
     return store.words().agg(F.count("*").alias("stored")).select(F.lit(9).alias("width"), *[F.lit(report[c]).cast("long").alias(c) for c in ("imported", "unknown_class")], "stored")
+
+
+# configuration, the seed and a whole fetch
+
+_SOURCES = """
+kaikki-de de 0, kaikki-en en 0, kaikki-la la 0, kaikki-el el 0, kaikki-grc grc 1, kaikki-he he 1, kaikki-sa sa 0, kaikki-non non 0, kaikki-got got 0, kaikki-egy egy 0,
+kaikki-akk akk 0, kaikki-sux sux 0, kaikki-nci nci 0, kaikki-yua yua 0, kaikki-qu qu 0, myth-greek grc 0""".replace("\n", " ")
+_SOURCES_SQL = "spec AS (SELECT split_part(x, ' ', 1) AS id, split_part(x, ' ', 2) AS language, split_part(x, ' ', 3) = '1' AS no_proper, i FROM (SELECT trim(unnest(string_split('" + _SOURCES.strip() + f"', ','))) AS x, unnest(range({_SOURCES.count(',') + 1})) AS i))"
+_SPEC = "id string, backend string, language string, system string, max_words int, skips string"
+
+
+def _spec_rows(chosen) -> list[tuple]:
+    return [(s.id, s.backend, s.language, s.system, s.max_words, ",".join(s.skip_classes)) for s in chosen]
+
+
+@query(
+    "SELECT id, CASE WHEN id LIKE 'myth%' THEN 'mythology-json' ELSE 'wiktextract-jsonl' END AS backend, language, CASE WHEN id LIKE 'myth%' THEN 'myth_greek' ELSE 'wiktionary_' || language END AS system, "
+    "CASE WHEN id LIKE 'myth%' THEN 2000 ELSE 20000 END::INT AS max_words, CASE WHEN no_proper THEN 'proper' ELSE '' END AS skips FROM spec",
+    _SOURCES_SQL,
+)
+def sc_specs(spark, sf):
+    return spark.createDataFrame(_spec_rows(specs.load_sources().sources), _SPEC)
+
+
+@query("SELECT id, 7 AS max_words, true AS known FROM spec WHERE id IN ('kaikki-la', 'myth-greek') UNION ALL SELECT 'nowhere', 7, false", _SOURCES_SQL)
+def pf_sources(spark, sf):
+    chosen, unknown = specs.select(specs.load_sources().sources, ["kaikki-la", "nowhere", "myth-greek"], 7)
+    return spark.createDataFrame([(s.id, s.max_words, True) for s in chosen] + [(i, 7, False) for i in unknown], "id string, max_words int, known boolean")
+
+
+@query(
+    "SELECT * FROM (VALUES ('default', 0.8::DOUBLE, 0.5::DOUBLE, ' ', 'of', 'latin', 1), ('given', 1.0::DOUBLE, 0.5::DOUBLE, '-', 'von', 'both', 9), ('zero', 0.8::DOUBLE, 0.5::DOUBLE, ' ', 'of', 'native', 1)) t(file, prefix, suffix, separator, fillword, script, count)"
+)
+def sc_config(spark, sf):
+    texts = {"given": '[generator]\nprefix_probability=1.0\nseparator="-"\nfillword="von"\n[output]\nscript="both"\ncount=9\n', "zero": '[output]\nscript="native"\ncount=0\n'}
+    rows = []
+    with tempfile.TemporaryDirectory() as folder:  # read by the driver alone
+        for name in ("default", *texts):
+            path = os.path.join(folder, f"{name}.toml")
+            if name in texts:
+                with open(path, "w") as f:
+                    f.write(texts[name])
+            c = specs.load_config(path)
+            rows.append((name, c.generator.prefix_probability, c.generator.suffix_name_probability, c.generator.separator, c.generator.fillword, c.script, c.count))
+    return spark.createDataFrame(rows, "file string, prefix double, suffix double, separator string, fillword string, script string, count int")
+
+
+def _seed_sql() -> str:
+    quoted = lambda v: "'" + v.replace("'", "''") + "'"
+    rows = [f"({', '.join(map(quoted, r))})" for r in csv.reader(SEED.strip().splitlines())]
+    names = "word, language, word_class, system, tags, weight, source, etymology, origin_lang"
+    return f"SELECT language || '_' || word AS id, word, word_class, language, system, tags, weight::DOUBLE AS seed_weight, source, nullif(etymology, '') AS etymology, nullif(origin_lang, '') AS origin_lang, NULL::VARCHAR AS translit, NULL::VARCHAR AS registers FROM (VALUES {', '.join(rows)}) t({names})"
+
+
+@query(_seed_sql())
+def sc_seed(spark, sf):
+    return seed_lexicon(spark)
+
+
+@query(
+    "SELECT 'lines' AS source, least((SELECT count(*) FROM ok), 50) AS accepted, (SELECT count(*) FROM doc WHERE doc_id <= last AND doc_id NOT IN (SELECT doc_id FROM ok)) AS skipped, "
+    "(SELECT count(*) FROM (SELECT DISTINCT doc_id, rel, dst FROM (SELECT doc_id, word, 'synonym' AS rel, unnest(w[1:12]) AS dst FROM ok UNION ALL SELECT doc_id, word, 'verwandt', unnest(w[2:4]) FROM ok) WHERE dst <> word AND length(dst) <= 30 AND doc_id <= last)) AS edges, false AS failed "
+    "FROM (SELECT CASE WHEN count(*) < 50 THEN (SELECT max(doc_id) FROM doc) ELSE max(doc_id) END AS last FROM (SELECT doc_id FROM ok ORDER BY doc_id LIMIT 50)) UNION ALL SELECT 'missing', 0, 0, 0, true",
+    JSON_SQL,
+)
+def ag_fetch_report(spark, sf):
+    """Two sources, one of them without a file; the limit of 50 words is the feature."""
+    path = f"{shared_folder(spark)}/fetch-{uuid.uuid4().hex}"
+    json_lines(spark, sf).repartition(1).sortWithinPartitions("ordinal").select("value").write.text(path)
+    some = [replace(SPEC, id="lines", max_words=50), replace(SPEC, id="missing")]
+    report = dictionary.fetch(spark, some, {"lines": path, "missing": f"{path}-nowhere"})[2]
+    return spark.createDataFrame([(r["source"], r["accepted"], r["skipped"], r["edges"], r["error"] is not None) for r in report], "source string, accepted long, skipped long, edges long, failed boolean")

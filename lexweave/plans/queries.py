@@ -370,11 +370,11 @@ def json_lines(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("ordinal"), line.alias("value"))
 
 
-_JSON_SQL = r"""doc AS (SELECT doc_id, text, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w, ['noun', 'adj', 'name', 'verb'][(doc_id % 4 + 1)::INT] AS pos FROM documents),
+JSON_SQL = r"""doc AS (SELECT doc_id, text, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w, ['noun', 'adj', 'name', 'verb'][(doc_id % 4 + 1)::INT] AS pos FROM documents),
 ok AS (SELECT *, w[1] AS word FROM doc WHERE length(w[1]) BETWEEN 2 AND 30 AND pos IN ('noun', 'name'))"""
 
 
-@query("SELECT doc_id AS ordinal, 'xx_' || word AS id, CASE pos WHEN 'name' THEN 'proper' ELSE pos END AS word_class, 'poetic' AS registers FROM ok", _JSON_SQL)
+@query("SELECT doc_id AS ordinal, 'xx_' || word AS id, CASE pos WHEN 'name' THEN 'proper' ELSE pos END AS word_class, 'poetic' AS registers FROM ok", JSON_SQL)
 def sc_json_lines(spark, sf):
     return dictionary.words_of(dictionary.parse_lines(json_lines(spark, sf), SPEC)).select("ordinal", "id", "word_class", "registers")
 
@@ -382,13 +382,13 @@ def sc_json_lines(spark, sf):
 @query(
     "SELECT DISTINCT doc_id AS ordinal, word AS src, rel, dst, weight FROM (SELECT doc_id, word, 'synonym' AS rel, 0.8::DOUBLE AS weight, unnest(w[1:12]) AS dst FROM ok "
     "UNION ALL SELECT doc_id, word, 'verwandt', 0.6::DOUBLE, unnest(w[2:4]) FROM ok) WHERE dst <> word AND length(dst) <= 30",
-    _JSON_SQL,
+    JSON_SQL,
 )
 def sc_edges(spark, sf):
     return dictionary.edge_rows(dictionary.parse_lines(json_lines(spark, sf), SPEC)).select("ordinal", "src", "rel", "dst", "weight")
 
 
-@query("SELECT doc_id AS ordinal, word FROM ok ORDER BY doc_id LIMIT 50", _JSON_SQL)
+@query("SELECT doc_id AS ordinal, word FROM ok ORDER BY doc_id LIMIT 50", JSON_SQL)
 def sc_first_accepted(spark, sf):
     taken = dictionary.take_accepted(dictionary.parse_lines(json_lines(spark, sf), SPEC), 50)
     return dictionary.words_of(taken).select("ordinal", "word")
@@ -402,13 +402,6 @@ def sc_mythology(spark, sf):
     return dictionary.parse_mythology(body, spec).where("accepted").select("id", "tags", "etymology")
 
 
-@query()
-def sc_seed(spark, sf):
-    from ..sources.seed import seed_lexicon
-
-    return seed_lexicon(spark)
-
-
 @query("SELECT event_id, json_extract_string(props, '$') IS NOT NULL AS valid FROM events")
 def sc_json_props(spark, sf):
     return table(spark, sf, "events").select("event_id", F.try_parse_json("props").isNotNull().alias("valid"))
