@@ -9,9 +9,11 @@ one mask, so a shared (mask, pattern) root holds every link. Beneath a root, fin
 rank and packed into leaf nodes and upper nodes; a node keeps the bits on which its members agree. A pair of
 nodes whose agreed bits already differ in more than ``max_distance`` places is pruned as a whole, first on the
 upper level, then on the lower with the differences accumulated; only what is left is compared one by one.
-A root with many members is cut into tiles, and each pair of tiles is a cell of bounded size. Cells report
-a spanning star per linked group, never all pairs. ``r`` follows the number of fingerprints and changes cost
-only: every choice finds every link.
+Cells report a spanning star per linked group, never all pairs. A root with many members is cut into tiles of bounded size,
+dealt anew for each mask, and every tile is a cell. What these cells link is contracted first; then members are tiled by
+component, and only pairs of tiles that can join two components are compared: a group that has become one
+component costs no more, and every link between different components is still looked for. ``r`` follows the number of
+fingerprints and changes cost only: every choice finds every link.
 
 Components: stars are contracted by minimum neighbour and pointer jumping, each round written to the shared
 folder.
@@ -208,23 +210,58 @@ def _cell_links(max_distance: int):
     return run
 
 
+def _compared(cells: DataFrame, max_distance: int) -> DataFrame:
+    """Stars (a, b) of the cells (cell, fp)."""
+    dealt = cells.repartition(shuffle_partitions(cells.sparkSession), "cell").sortWithinPartitions("cell")
+    return dealt.mapInArrow(_cell_links(max_distance), "a long, b long")
+
+
+def _between(roots: DataFrame, large: DataFrame, label: DataFrame | None, tile: int, scratch: Scratch) -> DataFrame:
+    """(cell, fp): the pairs of tiles of large roots that hold members of different components.
+
+    Components with many members in a root have tiles of their own, which are never compared with each other; the others share
+    tiles by a hash of the component.
+    """
+    root = ["mask", "bits"]
+    members = roots.join(large.select(*root), root)
+    members = members.withColumn("comp", F.col("fp")) if label is None else members.join(label.select(F.col("node").alias("fp"), F.col("root").alias("to")), "fp", "left").select(*root, "fp", F.coalesce("to", "fp").alias("comp"))
+    members = scratch.table(members, "members")
+    counts = members.groupBy(*root, "comp").agg(F.count("*").alias("n"))
+    own = F.when(F.col("n") > tile // 4, F.col("comp"))
+    tiled = counts.groupBy(*root, own.alias("own")).agg(F.ceil(F.sum("n") / F.lit(tile)).cast("int").alias("tiles"))
+    tiled = scratch.table(tiled, "tiled")
+    each = tiled.select(*root, "own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("k"))
+    listed = each.groupBy(*root).agg(F.collect_list(F.struct("own", "k")).alias("all"))  # a few for every ``tile`` members
+    shared = tiled.where("own is null").select(*root, F.col("tiles").alias("shared"))
+    listed = scratch.table(listed.join(shared, root, "left"), "listed")
+    alone = scratch.table(tiled.where("own is not null").select(*root, F.col("own").alias("comp"), "tiles"), "alone")
+    at = members.join(alone, [*root, "comp"], "left").join(listed, root)
+    mine = F.struct(F.when(F.col("tiles").isNotNull(), F.col("comp")).alias("own"), F.pmod(F.xxhash64(F.when(F.col("tiles").isNotNull(), F.col("fp")).otherwise(F.col("comp"))), F.coalesce("tiles", "shared")).cast("int").alias("k"))
+    at = at.select(*root, "fp", mine.alias("mine"), "all")
+    at = at.select(*root, "fp", "mine", F.explode(F.filter("all", lambda t: ~F.coalesce(t["own"] == F.col("mine.own"), F.lit(False)))).alias("other"))
+    name = lambda t: F.xxhash64(F.col(f"{t}.own").isNull(), F.coalesce(f"{t}.own", F.lit(0)), F.col(f"{t}.k"))
+    return at.select(F.xxhash64(*root, F.least(name("mine"), name("other")), F.greatest(name("mine"), name("other"))).alias("cell"), "fp")
+
+
 def links(nodes: DataFrame, max_distance: int = 4, n_nodes: int | None = None, tile: int = TILE) -> DataFrame:
     """Stars (a, b) that connect the distinct fingerprints ``fp`` just as all links would."""
+    scratch = Scratch(nodes.sparkSession, "simhash-links")
     n = nodes.count() if n_nodes is None else n_nodes
     kept = 1
     while kept < 4 and n / 2 ** (64 * kept / (max_distance + kept)) > ROOT_MEMBERS:
         kept += 1
     masks = [_signed(m) for m in _masks(max_distance, kept)]
     roots = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("mask", "bits"))
-    large = roots.groupBy("mask", "bits").count().where(F.col("count") > tile)
-    # A root is known by a hash of (mask, bits): roots that meet in a hash only share a cell, which costs time but no link.
-    tiles = F.ceil(F.coalesce(F.col("count"), F.lit(0)) / F.lit(tile)).cast("int")
-    at = roots.join(large, ["mask", "bits"], "left").withColumn("tiles", F.greatest(tiles, F.lit(1)))
-    mine = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("tiles")).cast("int")
-    at = at.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    cell = F.xxhash64("mask", "bits", F.least("mine", "other"), F.greatest("mine", "other"))
-    cells = at.select(cell.alias("cell"), "fp").repartition(shuffle_partitions(nodes.sparkSession), "cell").sortWithinPartitions("cell")
-    return cells.mapInArrow(_cell_links(max_distance), "a long, b long")
+    large = scratch.table(roots.groupBy("mask", "bits").agg(F.count("*").alias("m")).where(F.col("m") > tile), "large")
+    # A cell is known by a hash: cells that meet in a hash are compared together, which costs time but no link.
+    tiles = F.ceil(F.coalesce("m", F.lit(1)) / F.lit(tile)).cast("int")
+    at = roots.join(large, ["mask", "bits"], "left")
+    cell = F.xxhash64("mask", "bits", F.pmod(F.xxhash64("fp", "mask"), tiles))
+    found = _compared(at.select(cell.alias("cell"), "fp"), max_distance)
+    if large.isEmpty():
+        return found
+    found = scratch.table(found, "within")
+    return found.unionByName(_compared(_between(roots, large, components(found, scratch), tile, scratch), max_distance))
 
 
 def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame | None:

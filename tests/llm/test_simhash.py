@@ -75,6 +75,55 @@ def test_tiles_and_more_masks_find_the_same_links(spark):
         assert all((a ^ b) != 0 for a, b in stars.collect())
 
 
+def test_large_roots_connect_like_all_pairs(spark):
+    """Families that share roots far beyond a tile: dense, sparse and in chains; and a family that is one component costs nothing more."""
+    rng = np.random.default_rng(5)
+    codes = set()
+    for _ in range(3):  # dense
+        center = int(rng.integers(0, 2**63))
+        codes |= {center ^ sum(1 << int(b) for b in set(rng.integers(0, 64, rng.integers(1, 4)))) for _ in range(120)}
+    base = int(rng.integers(0, 2**63))
+    codes |= {base ^ int(x) for x in rng.integers(0, 2**40, 250)}  # share the upper bits, hardly link
+    for step in range(0, 40, 3):
+        base ^= 0b111 << step
+        codes.add(base)  # a chain
+    codes = sorted(codes)
+    root = {c: c for c in codes}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i, x in enumerate(codes):
+        for y in codes[:i]:
+            if (x ^ y).bit_count() <= 4:
+                root[find(x)] = find(y)
+    want = {}
+    for c in codes:
+        want.setdefault(find(c), set()).add(c)
+    nodes = spark.createDataFrame([(simhash._signed(c),) for c in codes], "fp long")
+    for tile in (1024, 30, 8):
+        stars = simhash.links(nodes, tile=tile)
+        found = simhash.components(stars)
+        of = {r["node"] % 2**64: r["root"] % 2**64 for r in found.collect()}
+        got = {}
+        for c in codes:
+            got.setdefault(of.get(c, c), set()).add(c)
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_one_component_is_not_compared_again(spark, monkeypatch):
+    made = []
+    real = simhash._compared
+    monkeypatch.setattr(simhash, "_compared", lambda cells, d: (made.append(cells.count()), real(cells, d))[1])
+    base = 0x0123456789ABCDEF
+    codes = {base ^ x for x in range(1 << 9)}  # nine bits differ, so each code has over 200 neighbours
+    simhash.links(spark.createDataFrame([(simhash._signed(c),) for c in codes], "fp long"), tile=64).collect()
+    assert made == [5 * 512, 0]
+
+
 def test_long_chain_is_one_component(spark):
     codes = [0]
     for bit in range(0, 63, 3):
