@@ -291,6 +291,8 @@ def _ranks(nodes: DataFrame, needs: DataFrame) -> DataFrame:
     linked = needs.join(nodes.select("conv", F.col("id").alias("need"), F.col("call_turn").alias("need_turn")), ["conv", "need"])
     linked = linked.join(nodes.select("conv", "id", "call_turn"), ["conv", "id"]).where("need_turn <> call_turn or need = id")  # calls of one message stand together
     waiting = scratch.table(linked.select("conv", "id", "need", F.lit(None).cast("long").alias("r"), F.lit(None).cast("int").alias("l")), "needs")
+    if waiting.isEmpty():
+        return waiting.select("conv", "id", F.col("r").alias("rank"), F.col("l").alias("level"), F.lit(False).alias("cyclic"))
     own = nodes.select("conv", "id", F.col("call_turn").alias("turn"), F.greatest("call_turn", F.coalesce("result_turn", "call_turn")).alias("done"))
     dependent = waiting.select("conv", "id").distinct()
     ready = own.join(dependent, ["conv", "id"], "left_anti").select("conv", "id", F.col("turn").alias("rank"), F.lit(0).alias("level"), "done")
