@@ -180,6 +180,7 @@ def blocks(page: str) -> list[tuple[str, int, float, Place, bool, bool, bool]]:
     heading = item = False
     comments = 0  # size of the stack that holds the comments, if any
     place = NOWHERE  # of the block being gathered
+    never: set[str] = set()  # names that no end tag closes any more
 
     def here() -> Place:
         return stack[-1][1] if stack else NOWHERE
@@ -230,9 +231,15 @@ def blocks(page: str) -> list[tuple[str, int, float, Place, bool, bool, bool]]:
             if name in UNSEEN:
                 if closed and name in FOREIGN:
                     continue
-                close = _close(name).search(page, at)
-                if close or name in RAW:
-                    at = close.end() if close else end
+                close = _close(name).search(page, at) if name not in never else None
+                if close is None:
+                    never.add(name)  # nor after any later place
+                if close:
+                    at = close.end()
+                elif name in ("title", "textarea"):
+                    at = max(page.find("<", at), at)
+                elif name in RAW:
+                    at = end
                 text.append(" ")
                 continue
             if name in BLOCKS:

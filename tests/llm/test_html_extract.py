@@ -28,6 +28,8 @@ LONG = "word " * 30 + "end."
         ("<p>Alpha</p><svg/><p>Beta</p>", "Alpha\nBeta"),
         ("<p>Alpha</p><svg viewBox=0><title>x</title></svg><math/><p>Beta</p>", "Alpha\nBeta"),
         ("<p>Alpha<iframe src=x><p>Beta</p>", "Alpha\nBeta"),
+        ("<head><title>Name<meta><body><p>Beta gamma.</p>", "Beta gamma."),
+        ("<p>Alpha.</p><script>if (a < b) x = '<p>no</p>'", "Alpha."),
         ("<article><h2 id='comments-on-law'>Comments on law</h2><p class='notice'>Hello there.</p></article>", "Comments on law\nHello there."),
         ("<p>See <a href=/x/>this page</a> for the whole text.</p>", "See this page for the whole text."),
         ("<article><p>a</p><div style='display: none'><p>n</p></div><p aria-hidden='true'>n</p><p>b <button>Go</button> c</p></article>", "a\nb c"),
@@ -105,6 +107,6 @@ def test_deep_and_unclosed_pages_stay_linear():
     import time
 
     start = time.perf_counter()
-    for page in ("<div>" * 100_000 + "x", "<b>" * 100_000 + "x", "<p><a href=x>" * 50_000, "<ul><li>" * 50_000 + "x", "</div>" * 100_000, "<div><b>" * 30_000 + "</i>" * 30_000, "<" * 100_000, "<a " * 30_000, "<a '" * 30_001 + "<p>"):
+    for page in ("<div>" * 100_000 + "x", "<b>" * 100_000 + "x", "<p><a href=x>" * 50_000, "<ul><li>" * 50_000 + "x", "</div>" * 100_000, "<div><b>" * 30_000 + "</i>" * 30_000, "<" * 100_000, "<a " * 30_000, "<iframe>" * 30_000, "<a '" * 30_001 + "<p>"):
         he.extract(page, TREE)
     assert time.perf_counter() - start < 20
