@@ -75,3 +75,57 @@ def test_whole_result_from_labels_and_texts(spark, sf):
         z = ((x[r["doc_id"]] - both.mean(axis=0)) / model["scale"]) @ model["weights"] - model["threshold"]
         want = 1 / (1 + np.exp(-np.clip(z / model["spread"], -30, 30)))
         assert abs(r["score"] - want) < 0.02 and r["predicted"] == (r["score"] >= 0.5)
+
+
+def _all_pairs(better, worse, ridge=1e-3):
+    """Newton steps over every pair, listed; then the threshold by sorting."""
+    both = np.concatenate((better, worse))
+    scale = both.std(axis=0)
+    scale[scale < 1e-9] = 1.0
+    x = ((better[:, None, :] - worse[None, :, :]) / scale).reshape(-1, len(bt.NAMES))
+    w = np.zeros(len(bt.NAMES))
+    for _ in range(25):
+        lost = 1 / (1 + np.exp(x @ w))
+        w = w - np.linalg.solve((x * (lost * (1 - lost))[:, None]).T @ x / len(x) + ridge * np.eye(len(w)), ridge * w - (x * lost[:, None]).mean(axis=0))
+    scores = np.sort((both - both.mean(axis=0)) / scale @ w)
+    return w, scores[len(worse) - 1 : len(worse) + 1].mean(), scores.std() / 4
+
+
+def _drawn(n_better, n_worse):
+    """Random texts whose classes overlap, with labels, and the features of each class that may be learned from."""
+    rng = np.random.default_rng(5)
+    words = np.array(["the", "of", "and", "tree", "Stone", "RIVER", "go!!", "##", "42", "a,b", "line\n", "x."])
+    ids = [i for i in range(3 * (n_better + n_worse)) if zlib.crc32(str(i).encode()) % 3 != 1][: n_better + n_worse]
+    draw = lambda good: " ".join(rng.choice(words, rng.integers(3, 30), p=(lambda p: p / p.sum())(1 + rng.random(12) + good * np.linspace(0.5, 0, 12))))
+    rows = [(d, draw(int(i < n_better)), int(i < n_better)) for i, d in enumerate(ids)]
+    x = {y: np.array([bt.features(t.encode()) for _, t, q in rows if q == y]) for y in (0, 1)}
+    return [r[:2] for r in rows], [(d, q) for d, _, q in rows], x[1], x[0]
+
+
+def test_every_label_and_every_pair_is_learned_from(spark):
+    docs, labels, better, worse = _drawn(30, 4300)
+    model = bt.learn(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"))
+    weights, threshold, spread = _all_pairs(better, worse)
+    assert np.allclose(model["weights"], weights, atol=1e-7)
+    assert abs(model["threshold"] - threshold) < 1e-7 and abs(model["spread"] - spread) < 1e-7
+
+
+def test_parts_change_nothing(spark):
+    docs, labels, better, worse = _drawn(170, 110)
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    whole, parts = bt.fit(better, worse), bt.learn(*frames, chunk=40)
+    assert all(np.allclose(whole[k], parts[k], rtol=1e-9, atol=1e-9) for k in whole)
+    again = bt.learn(*frames, chunk=40)
+    assert all(np.array_equal(again[k], parts[k]) for k in parts)
+
+
+def test_fit_with_far_outliers_and_split_classes():
+    """Scores over many boxes, and classes that one feature splits."""
+    rng = np.random.default_rng(8)
+    better, worse = rng.standard_cauchy((90, len(bt.NAMES))), rng.standard_cauchy((70, len(bt.NAMES)))
+    better[:, 3], worse[:, 3] = 2 + rng.random(90), rng.random(70)
+    better[:, 5] = worse[:, 5] = 0.7
+    model = bt.fit(better, worse)
+    weights, threshold, spread = _all_pairs(better, worse)
+    assert np.allclose(model["weights"], weights, atol=1e-7)
+    assert abs(model["threshold"] - threshold) < 1e-6 and abs(model["spread"] - spread) < 1e-7
