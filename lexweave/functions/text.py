@@ -133,7 +133,7 @@ def truncate_bytes(text: Column, most: int) -> Column:
     def cut(t: Column) -> Column:
         raw = F.substring(t.cast("binary"), 1, most)
         cuts = [F.try_validate_utf8(F.substring(raw, 1, n).cast("string")) for n in range(most, max(most - 4, 0), -1)]
-        return F.when(F.octet_length(t) <= most, t).otherwise(F.coalesce(*cuts, F.lit("")))
+        return F.when(F.octet_length(t) > most, F.coalesce(*cuts, F.lit(""))).otherwise(t)  # null stays null
 
     return bound(text, cut)
 

@@ -166,3 +166,31 @@ def test_byte_truncation(spark):
     for r in df.select("s", T.truncate_bytes(F.col("s"), 80).alias("t")).collect():
         raw = r["s"].encode()[:80]
         assert r["t"] == raw.decode(errors="ignore")
+
+
+def test_byte_truncation_keeps_null(spark):
+    df = spark.createDataFrame([(None,), ("",), (" \n",), (" a  b ",)], "s string")
+    got = [tuple(r) for r in df.select(T.truncate_bytes(F.col("s"), 80), T.clean_etymology(F.col("s"))).collect()]
+    assert got == [(None, None), ("", None), (" \n", None), (" a  b ", "a b")]
+
+
+def test_entries_without_an_etymology_or_a_description_have_none(spark):
+    assert [r["etymology"] for r in parsed(spark, entry(), entry(etymology_text=" "), entry(etymology_text="From X"))] == [None, None, "from x"]
+    spec = specs.SourceSpec("myth-greek", "mythology-json", "", "grc", "myth_greek")
+    body = json.dumps([{"name": "Zeus", "category": "god"}, {"name": "Hera"}])
+    rows = D.parse_mythology(spark.createDataFrame([(body,)], "value string"), spec).orderBy("ordinal").collect()
+    assert [(r["accepted"], r["tags"], r["etymology"]) for r in rows] == [(True, "god", None), (False, None, None)]
+
+
+def test_etymology_of_blank_texts_equals_its_sql(spark, tmp_path):
+    import duckdb
+    from lexweave.plans import core_queries  # noqa: F401 registers more queries
+    from lexweave.plans.queries import ORACLES, QUERIES
+
+    texts = [None, "", " ", "\n\t", "A  b"]
+    rows = [(i, t, "en", "src1", 0) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    oracle = duckdb.connect()
+    oracle.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in QUERIES["f_clean_etymology"](spark, str(tmp_path)).collect())
+    assert got == sorted(oracle.sql(ORACLES["f_clean_etymology"]).fetchall())
