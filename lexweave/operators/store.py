@@ -33,9 +33,14 @@ def _numbered(df: DataFrame, schema: T.StructType, seq: Column, batch: int) -> D
     return conform(at, T.StructType([*schema.fields, T.StructField("__seq", at.schema["__seq"].dataType)]))
 
 
+def _place(df: DataFrame, seq: str) -> Column:
+    """The order of new rows: a number, or a struct that is compared as it stands."""
+    return F.col(seq) if isinstance(df.schema[seq].dataType, T.StructType) else F.col(seq).cast("long")
+
+
 def upsert_words(existing: DataFrame | None, new: DataFrame, seq: str = "ingest_seq") -> DataFrame:
     """The lexicon after ``new`` rows: for each id the last write stays."""
-    rows = _numbered(new, LEXICON, F.col(seq).cast("long"), 1)
+    rows = _numbered(new, LEXICON, _place(new, seq), 1)
     if existing is not None:
         rows = _numbered(existing, LEXICON, F.lit(0).cast("long"), 0).unionByName(rows)
     return _survivors(rows, ["id"], "__seq", last=True).drop("__seq")
@@ -43,7 +48,7 @@ def upsert_words(existing: DataFrame | None, new: DataFrame, seq: str = "ingest_
 
 def insert_edges(existing: DataFrame | None, new: DataFrame, seq: str = "ingest_seq") -> DataFrame:
     """The edges after ``new`` rows: for each (src, rel, dst) the first write stays."""
-    rows = _numbered(new, EDGES, F.col(seq).cast("long"), 1)
+    rows = _numbered(new, EDGES, _place(new, seq), 1)
     if existing is not None:
         rows = _numbered(existing, EDGES, F.lit(0).cast("long"), 0).unionByName(rows)
     return _survivors(rows, ["src", "rel", "dst"], "__seq", last=False).drop("__seq")

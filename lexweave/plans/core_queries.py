@@ -20,7 +20,7 @@ from ..sources import dictionary, lexicon_csv, specs
 from ..sources.seed import SEED, seed_lexicon
 from ..sources.specs import SourceSpec
 from .adapters import EDG_SQL, LEX_SQL, first_edges, lexicon, stops_sql, table
-from .queries import GLOSS_SQL, JSON_SQL, NOISE, QUERY, SINGULAR, SPEC, TOKENS_SQL, json_lines, query
+from .queries import GLOSS_SQL, JSON_SQL, NOISE, QUERY, SINGULAR, SPEC, TOKENS_SQL, lines_of, query
 
 # the full lookup
 
@@ -388,6 +388,9 @@ def sc_seed(spark, sf):
     return seed_lexicon(spark)
 
 
+FILE_BYTES = 16 << 20  # of stored documents that become one file of lines
+
+
 @query(
     "SELECT 'lines' AS source, least((SELECT count(*) FROM ok), 50) AS accepted, (SELECT count(*) FROM doc WHERE doc_id <= last AND doc_id NOT IN (SELECT doc_id FROM ok)) AS skipped, "
     "(SELECT count(*) FROM (SELECT DISTINCT doc_id, rel, dst FROM (SELECT doc_id, word, 'synonym' AS rel, unnest(w[1:12]) AS dst FROM ok UNION ALL SELECT doc_id, word, 'verwandt', unnest(w[2:4]) FROM ok) WHERE dst <> word AND length(dst) <= 30 AND doc_id <= last)) AS edges, false AS failed "
@@ -395,9 +398,15 @@ def sc_seed(spark, sf):
     JSON_SQL,
 )
 def ag_fetch_report(spark, sf):
-    """Two sources, one of them without a file; the limit of 50 words is the feature."""
+    """Two sources, one of them without a file; the limit of 50 words is the feature.
+
+    The lines lie in gzip files of bounded size, whose names are in the order of the lines; texts are dealt before they become lines.
+    """
     path = f"{shared_folder(spark)}/fetch-{uuid.uuid4().hex}"
-    json_lines(spark, sf).repartition(1).sortWithinPartitions("ordinal").select("value").write.text(path)
+    docs = table(spark, sf, "documents")
+    size = int(str(docs._jdf.queryExecution().analyzed().stats().sizeInBytes()))  # of the files
+    parts = min(size // FILE_BYTES + 1, 99_999)  # names of files are in order up to five digits
+    lines_of(docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")).select("value").write.option("compression", "gzip").text(path)
     some = [replace(SPEC, id="lines", max_words=50), replace(SPEC, id="missing")]
     report = dictionary.fetch(spark, some, {"lines": path, "missing": f"{path}-nowhere"})[2]
     return spark.createDataFrame([(r["source"], r["accepted"], r["skipped"], r["edges"], r["error"] is not None) for r in report], "source string, accepted long, skipped long, edges long, failed boolean")

@@ -361,8 +361,12 @@ SPEC = SourceSpec("docs", "wiktextract-jsonl", "", "xx", "docs_xx", skip_classes
 
 
 def json_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return lines_of(table(spark, sf, "documents"))
+
+
+def lines_of(docs: DataFrame) -> DataFrame:
     """Documents as dictionary lines: the first word is the headword, all words of the text are senses and links."""
-    docs = table(spark, sf, "documents").withColumn("w", F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), text.NOT_ALNUM), lambda w: w != ""))
+    docs = docs.withColumn("w", F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), text.NOT_ALNUM), lambda w: w != ""))
     pos = F.get(F.array(*map(F.lit, ["noun", "adj", "name", "verb"])), (F.col("doc_id") % 4).cast("int"))
     link = lambda words: F.transform(words, lambda w: F.struct(w.alias("word")))
     senses = F.array(F.struct(F.array("text").alias("glosses"), F.array(F.lit("poetic")).alias("tags"), link(F.slice("w", 2, 3)).alias("related")))

@@ -132,7 +132,7 @@ def parse_lines(lines: DataFrame, spec: SourceSpec, value: str = "value", ordina
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(ordinal, value): the lines of a text file, gzip or plain, with their order in the file."""
+    """(ordinal, value): the lines of a text file, gzip or plain, with their order in the file; of a folder, file by file in order of names."""
     raw = spark.read.text(path)
     place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n"))
     return raw.select(place.alias("ordinal"), "value")
@@ -202,7 +202,8 @@ def fetch(spark: SparkSession, specs: list[SourceSpec], paths: dict[str, str]) -
                 body = spark.read.text(paths[spec.id], wholetext=True)
                 parsed = stored(parse_mythology(body, spec), f"parsed-{spec.id}")
                 some = parsed.where("accepted").orderBy("ordinal").limit(spec.max_words)
-                found, links = some.withColumn("seq", F.col("ordinal").cast("long")).drop("ordinal", "accepted"), None
+                place = F.struct(F.lit("").alias("file_path"), F.lit(0).cast("long").alias("file_block_start"), F.col("ordinal").cast("long").alias("n"))  # as in read_lines
+                found, links = some.withColumn("seq", place).drop("ordinal", "accepted"), None
                 read = parsed.agg(F.count_if(F.col("accepted")).alias("a"), F.count_if(~F.col("accepted")).alias("s")).first()
                 size = body.agg(F.sum(F.octet_length("value")).alias("b")).first()["b"]
                 counts = {"accepted": min(read["a"], spec.max_words), "skipped": read["s"], "edges": 0, "bytes": size or 0}
@@ -210,8 +211,8 @@ def fetch(spark: SparkSession, specs: list[SourceSpec], paths: dict[str, str]) -
                 lines = read_lines(spark, paths[spec.id])
                 parsed = stored(parse_lines(lines, spec), f"parsed-{spec.id}")
                 taken = take_accepted(parsed, spec.max_words)
-                found = words_of(taken).withColumn("seq", F.col("ordinal.n")).drop("ordinal")
-                links = edge_rows(taken).withColumn("seq", F.col("ordinal.n")).drop("ordinal", "pos")
+                found = words_of(taken).withColumnRenamed("ordinal", "seq")
+                links = edge_rows(taken).withColumnRenamed("ordinal", "seq").drop("pos")
                 sent = F.sum(F.when(F.col("accepted"), F.size("edges")).otherwise(0))
                 read = taken.agg(F.count_if(F.col("accepted")).alias("a"), F.count_if(~F.col("accepted")).alias("s"), F.coalesce(sent, F.lit(0)).alias("e"), F.sum("bytes").alias("b")).first()
                 counts = {"accepted": read["a"], "skipped": read["s"], "edges": read["e"], "bytes": read["b"] or 0}
@@ -236,7 +237,7 @@ def merge(spark: SparkSession, parts: list[DataFrame], schema) -> DataFrame:
     union = parts[0]
     for part in parts[1:]:
         union = union.unionByName(part)
-    ordered = union.withColumn("ingest_seq", F.col("k").cast("long") * F.lit(1 << 56) + F.col("seq"))
+    ordered = union.withColumn("ingest_seq", F.struct("k", "seq"))
     return upsert_words(None, ordered) if "id" in schema.fieldNames() else insert_edges(None, ordered)
 
 

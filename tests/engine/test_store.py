@@ -119,3 +119,29 @@ def test_expansion_asks_for_the_whole_and_its_first_tokens(spark, tmp_path):
     assert expansion.expand(spark, folder, spec, "forest") == ("woodland",)
     concepts = build_concepts(spark, "forest", None, expansion.expand(spark, folder, spec, "forest"))
     assert [(c.term, c.kind) for c in concepts] == [("forest", "token"), ("woodland", "online")]
+
+
+def test_fetch_of_a_folder_goes_by_the_names_of_its_files(spark, tmp_path):
+    line = lambda word, gloss, n=1: json.dumps({"word": word, "pos": "noun", "senses": [{"glosses": [gloss]}], "synonyms": [{"word": "syn"}], "pad": "x" * n}) + "\n"
+    (tmp_path / "d").mkdir()
+    # a scan takes the larger file first
+    (tmp_path / "d" / "part-0").write_text(line("aa", "old") + line("bb", "old"))
+    (tmp_path / "d" / "part-1").write_text(line("aa", "new", 9999) + line("cc", "new"))
+    fetched = lambda most: D.fetch(spark, [specs.SourceSpec("a", "wiktextract-jsonl", "", "de", "s", max_words=most)], {"a": str(tmp_path / "d")})
+    found, _, report = fetched(9)
+    assert {r["word"]: r["tags"] for r in found.collect()} == {"aa": "new", "bb": "old", "cc": "new"} and report[0]["accepted"] == 4
+    assert {r["word"]: r["tags"] for r in fetched(2)[0].collect()} == {"aa": "old", "bb": "old"}
+
+
+def test_lines_of_the_fetch_query_lie_in_several_ordered_files(spark, tmp_path, monkeypatch):
+    from lexweave.plans import core_queries
+    from lexweave.plans.queries import QUERIES, json_lines
+
+    sf = "/root/testdata/sf0.001"
+    kept = []
+    monkeypatch.setattr(core_queries.dictionary, "fetch", lambda spark, some, paths: kept.append(paths["lines"]) or (None, None, [{"source": "lines", "accepted": 0, "skipped": 0, "edges": 0, "error": None}]))
+    monkeypatch.setattr(core_queries, "FILE_BYTES", 32 << 10, raising=False)
+    QUERIES["ag_fetch_report"](spark, sf)
+    got = D.read_lines(spark, kept[0]).orderBy("ordinal").collect()
+    assert len({r["ordinal"]["file_path"] for r in got}) > 4
+    assert [r["value"] for r in got] == [r["value"] for r in json_lines(spark, sf).orderBy("ordinal").collect()]
